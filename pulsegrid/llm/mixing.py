@@ -59,7 +59,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     ``size`` counts words (runs of anything but x20 and x09-x0D; null text: 0).
     ``copies`` is how often the mix takes the document: the integers between
     two neighbouring prefix sums, so never more than ``most`` rounded up. The
-    random offset of a source is drawn from its name, so that reruns agree.
+    random offset of a source is drawn from its name (12 bits, so that whole steps
+    add without rounding), and reruns agree.
     Rows tied in size and id are interchangeable. A null source is a source of
     its own. Every row is returned, also with zero copies.
     """
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     within = Window.partitionBy("source", "size", "bucket").orderBy(c_id)
     ranked = sized.withColumn("rank", F.row_number().over(within)).join(starts, [F.col("source").eqNullSafe(F.col("s_source")), F.col("size") == F.col("s_size"), F.col("bucket") == F.col("s_bucket")], "inner")
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
-    offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 3), 16, 10).cast("double") / F.lit(4096.0)
     ranked = ranked.withColumns({"step": step, "offset": offset, "place": (F.col("before") + F.col("rank")).cast("double")})
     copies = F.floor(F.col("place") * F.col("step") + F.col("offset")) - F.floor((F.col("place") - 1.0) * F.col("step") + F.col("offset"))
     return carried.restore(ranked.withColumn("copies", copies.cast("long")), "size", "source_size", "target", "copies")

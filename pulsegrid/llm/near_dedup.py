@@ -87,15 +87,17 @@ def shard_keys(max_distance: int = 3, vantage: int = 6) -> list[F.Column]:
     for tree, band in enumerate(_bands(list(range(64)), max_distance + 1)):
         rest = [b for b in range(64) if b not in band]
         for second, other in enumerate(_bands(rest, max_distance + 1)):
-            path = F.lit(tree * (max_distance + 1) + second).cast("long")
+            paths = []
             for bits in (band, other):
                 mask = sum(1 << b for b in bits)
-                points = rng.permutation(len(bits))[:vantage]
-                for i in range(vantage):
-                    point = int(rng.integers(0, 1 << 63)) & mask ^ (1 << bits[int(points[i % len(points)])])
+                chosen = rng.permutation(len(bits))
+                path = F.lit(0).cast("long")
+                for i in range(min(vantage, 10)):  # a distance takes six bits of the path
+                    point = int(rng.integers(0, 1 << 63)) & mask ^ (1 << bits[int(chosen[i % len(bits)])])
                     distance = F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(point))))
-                    path = F.xxhash64(path, distance) if i % 6 == 5 else path * 32 + distance
-            keys.append(F.xxhash64(path))
+                    path = F.shiftleft(path, 6).bitwiseOR(distance.cast("long"))
+                paths.append(path)
+            keys.append(F.xxhash64(F.lit(tree * (max_distance + 1) + second), *paths))
     return keys
 
 
