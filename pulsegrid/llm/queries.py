@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, substring_dedup, suffix_dedup
+from . import langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from .storage import read
 
 
+def held_out(ident: str = "doc_id") -> F.Column:
+    """Rows that nothing is learned from; those without an id are among them."""
+    return F.coalesce(F.crc32(F.col(ident).cast("string")) % 5 == 0, F.lit(True))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,16 +29,32 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(~held_out()), read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "ambiguous")
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
     "op9_source_mix": op9_source_mix,
+    "op10_language_id": op10_language_id,
 }
 
 _REPEATED_WORDS = r"""
@@ -69,4 +90,21 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES = {"op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}
+_REPEATED_BYTES = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT row, h, unnest(generate_series(1, length(h) // 2 - 399)) AS i FROM docs WHERE length(h) >= 800),
+windows AS (SELECT row, i, md5(substr(h, 2 * i - 1, 800)) AS w FROM starts),
+hits AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+runs AS (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hits),
+named AS (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM runs),
+spans AS (SELECT row, min(i) AS s, max(i) + 400 AS e FROM named GROUP BY row, run),
+gaps AS (SELECT row, s, e, coalesce(lag(e) OVER (PARTITION BY row ORDER BY s), 1) AS open FROM spans),
+cut AS (SELECT row, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS tail,
+    string_agg(substr(h, CAST(2 * open - 1 AS BIGINT), CAST(2 * (s - open) AS BIGINT)), '' ORDER BY s) AS kept
+  FROM gaps JOIN docs USING (row) GROUP BY row)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, CAST(2 * tail - 1 AS BIGINT)) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (row)
+"""
+
+ORACLES = {"op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}
