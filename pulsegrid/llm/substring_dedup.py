@@ -33,7 +33,7 @@ _CELL = T.StructType([T.StructField("cell", _L), T.StructField("key", _L), T.Str
 _WINDOW = T.StructType([T.StructField("h", _L), T.StructField("g", _I), T.StructField("key", _L), T.StructField("pos", _I)])
 
 
-def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: int = 17, depth: int = 2, keep: list[str] | None = None) -> DataFrame:
+def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: int = 8, depth: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Remove each word that a window occurring anywhere else covers.
 
     Returns the columns ``keep`` of ``docs`` (all by default) with ``n_words``, ``n_removed`` and
@@ -73,8 +73,8 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: in
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
             keys = batch.column(1).to_numpy()
-            low, low_at = lists(batch.column(2))
-            high, _ = lists(batch.column(3))
+            low, low_at = lists(batch.column(batch.num_columns - 2))
+            high, _ = lists(batch.column(batch.num_columns - 1))
             for i, j in pieces(offsets):
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, at = tokens.words(part, offsets[i : j + 1] - offsets[i])
@@ -94,7 +94,8 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: in
                 h, g = (h ^ (g & np.uint64(0xFFFFFFFF00000000))).astype(np.int64), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(keys[i:j][doc]), pa.array(pos.astype(np.int32))], names=_WINDOW.names)
 
-    grouped = judged.select("body", "key", "low", "high").where("body is not null").mapInArrow(windows, _WINDOW).groupBy("h", "g")
+    # All columns, although the text and key would do: only then is the exchange of ``dealt`` the same for both uses.
+    grouped = judged.select("body", "key", *carried.columns, "low", "high").mapInArrow(windows, _WINDOW).groupBy("h", "g")
     alone = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos")).where("n = 1")
     lone = alone.groupBy(F.col("key").alias("key_lone")).agg(F.collect_list("pos").alias("lone"))
     result = judged.join(lone, F.col("key") == F.col("key_lone"), "left").select("body", "low", "high", "lone", *carried.columns)
