@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from . import decontaminate, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from .storage import read
 
 
@@ -36,6 +36,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -53,6 +63,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
 }
@@ -107,4 +118,20 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM docs LEFT JOIN cut USING (row)
 """
 
-ORACLES = {"op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}
+_CONTAMINATED = r"""
+WITH lowered AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+tests AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(len(words), 10) AS size FROM tests WHERE len(words) > 0),
+shown AS (SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS w FROM (SELECT *, unnest(generate_series(1, len(words) - size + 1)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT size FROM shown),
+starts AS (SELECT row, size, words, unnest(generate_series(1, len(words) - size + 1)) AS i FROM lowered, sizes WHERE len(words) >= size),
+windows AS (SELECT row, size, i, array_to_string(words[i:i + size - 1], ' ') AS w FROM starts),
+hits AS (SELECT row, size, i, item_id FROM windows JOIN shown USING (size, w)),
+covered AS (SELECT row, count(*) AS n FROM (SELECT DISTINCT row, unnest(generate_series(i, i + size - 1)) AS p FROM (SELECT DISTINCT row, size, i FROM hits)) GROUP BY row),
+listed AS (SELECT row, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN covered USING (row) LEFT JOIN listed USING (row)
+"""
+
+ORACLES = {"op8_decontaminate": _CONTAMINATED, "op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}

@@ -37,6 +37,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = 1 << 25) -> DataFrame:
+    """A join that broadcasts ``right`` only if its values were summed to at most ``most`` bytes.
+
+    ``right`` should be a written table, since it is read for that. Beyond the
+    bound the join shuffles both sides.
+    """
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if isinstance(f.dataType, T.StringType) else F.lit(24) for f in right.schema.fields), F.lit(0))
+    size = right.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
+    return left.join(F.broadcast(right) if size <= most else right, on, how)
+
+
 class Carried:
     """A DataFrame under positional column names, so that no name can clash.
 
