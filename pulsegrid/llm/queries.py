@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from . import decontaminate, fingerprint, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from .storage import read
 
 
@@ -19,6 +19,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compared_with_edits(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.printed("sketch").alias("fingerprint"),
+        fingerprint.printed("edited_sketch").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeated(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,6 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_fingerprint": op4_fingerprint,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
