@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from . import decontaminate, fingerprint, html_text, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from .storage import read
 
 
@@ -14,6 +14,11 @@ def held_out(ident: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")) % 5 == 0, F.lit(True))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
     "op4_fingerprint": op4_fingerprint,
     "op5_substring_dedup": op5_substring_dedup,
