@@ -5,9 +5,9 @@ main element, outside of it, or inside a menu, header, footer, sidebar,
 notice, advert, form or comment. Pages stand in order of host and URL path; a
 page is paired with the neighbour on its host whose path shares the longer
 prefix, and the lines of the two are aligned by longest common subsequence.
-Shared lines are template and are deleted, except where both pages have them
-in their main element (a quotation or a copy, not template) and where nothing
-else would be left (the two pages are copies of each other).
+Shared lines are template and are deleted, except for what markup proves to be
+text: lines in an article or main element (copies and quotations are shared,
+too), and pages of which nothing else would be left (copies of each other).
 
 Only keys and line hashes meet their neighbours; texts are shuffled once.
 """
@@ -194,11 +194,11 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
 
 
-def main_text(texts: list[str], kinds: list[int], hashes: list[int], other_kinds: list[int], other_hashes: list[int]) -> str:
+def main_text(texts: list[str], kinds: list[int], hashes: list[int], other_hashes: list[int]) -> str:
     """What is left of a page after its lines met those of the page next to it."""
     wanted = MAIN if MAIN in kinds else OUTSIDE
     own = [i for i, k in enumerate(kinds) if k == wanted]
-    shared = {i for i, j in common(hashes, other_hashes) if not kinds[i] == other_kinds[j] == MAIN}
+    shared = {i for i, _ in common(hashes, other_hashes) if kinds[i] != MAIN}
     left = [i for i in own if i not in shared]
     return "\n\n".join(texts[i] for i in left or own)
 
@@ -256,16 +256,16 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     address = F.trim(F.col(carried.at(url)).cast("string"))
     keyed = source.select("key", F.nullif(F.lower(F.regexp_extract(address, _HOST, 1)), F.lit("")).alias("host"), F.regexp_replace(address, _HOST, "").alias("path"))
     pairs = _nearer(neighbours(keyed.dropDuplicates(["key"]), ["host", "path", "key"], ["host", "path", "key"]))
-    known = parsed.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes"), F.col("kinds").alias("other_kinds")).dropDuplicates(["other"])
-    met = pairs.join(known, F.col("partner") == F.col("other")).select(F.col("key").alias("own"), "other_hashes", "other_kinds")
+    known = parsed.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes")).dropDuplicates(["other"])
+    met = pairs.join(known, F.col("partner") == F.col("other")).select(F.col("key").alias("own"), "other_hashes")
     both = parsed.join(met, F.col("key") == F.col("own"), "left")
     done = T.StructType([*fields, T.StructField("main_text", T.StringType())])
 
     def compare(batches):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            columns = [batch.column(at[n]).to_pylist() for n in ("texts", "kinds", "hashes", "other_kinds", "other_hashes")]
-            out = [main_text(t, k, h, ok or [], oh or []) for t, k, h, ok, oh in zip(*columns)]
+            columns = [batch.column(at[n]).to_pylist() for n in ("texts", "kinds", "hashes", "other_hashes")]
+            out = [main_text(t, k, h, other or []) for t, k, h, other in zip(*columns)]
             yield pa.RecordBatch.from_arrays([*rebuild(batch, order), pa.array(out, pa.string())], names=done.names)
 
     names = dict(zip(carried.order, carried.names))
