@@ -5,14 +5,18 @@ bytes, by passes over hashed digits; a group that holds one suffix is final
 and leaves, and suffixes that are equal in every digit are exactly the
 repeated ``depth``-byte strings.
 
-* Digit 1 is the least 200-byte hash within the suffix's ``depth`` bytes. All
-  suffixes of one text that share its place form one range, so this pass moves
-  one row per range (about one per 100 bytes), not one per suffix.
+* Digit 1 is the least hash of ``depth // 6`` bytes within the suffix's
+  ``depth`` bytes. All suffixes of one text that share its place form one
+  range, so this pass moves one row per range (about one per 170 bytes), not
+  one per suffix.
 * Digit 2 is the content of the range with its full depth to the right. Equal
   ranges are equal in all their suffixes and need no further digit.
-* Digits 3 and 4, the first and last half of the ``depth`` bytes, separate the
-  suffixes of ranges that share digit 1 but not digit 2. One representative
-  stands for equal ranges, with weight two.
+* Digit 3 widens digit 1 to one side by half of what is left of the depth.
+  Suffixes that start far enough before digit 1 take the left side, the others
+  the right, so a range that shares digit 1 but not digit 2 with others splits
+  in two. One representative stands for equal ranges, with weight two.
+* Digits 4 and 5, the first and last half of the ``depth`` bytes, separate the
+  suffixes of parts that still share all digits with others.
 
 Each pass counts with map-side combine; what is counted once returns its own
 text and place (the complement of the repeated), so no hot group is gathered.
@@ -27,20 +31,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .storage import Carried, lists, pieces, rebuild, utf8
+from .storage import Carried, cut, lists, pieces, rebuild, utf8
 
 _L, _I = T.LongType(), T.IntegerType()
-_RANGE = T.StructType([T.StructField("a", _L), T.StructField("e", _L), T.StructField("key", _L), T.StructField("low", _I), T.StructField("high", _I)])
-_SUFFIX = T.StructType([T.StructField("d3", _L), T.StructField("d4", _L), T.StructField("weight", _I), T.StructField("key", _L), T.StructField("pos", _I)])
+_RANGE = T.StructType([*[T.StructField(n, _L) for n in ("a", "e", "left", "right", "key")], *[T.StructField(n, _I) for n in ("low", "mid", "high")]])
+_SUFFIX = T.StructType([T.StructField("d4", _L), T.StructField("d5", _I), T.StructField("weight", _I), T.StructField("key", _L), T.StructField("pos", _I)])
 
 
 def _ranges(rolling: tokens.Rolling, at: np.ndarray, depth: int, digit: int):
-    """(digit 1, digit 2, text, low, high) of each range of starts of a piece."""
+    """Of each range of starts of a piece: digits 1, 2 and both 3s, text, and its low, mid and high start.
+
+    Starts up to mid have the left digit 3, later ones the right.
+    """
+    side = (depth - digit) // 2
     grams = rolling.grams(digit)
     own, text, low, high = tokens.owned_ranges(grams, at, depth, digit)
     inner = ((own - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
     content = tokens.mix(rolling.runs(low, high + depth) ^ tokens.mix(inner + np.uint64(1)))
-    return grams[own], content, text, low - at[text], high - at[text]
+    left = rolling.runs(np.maximum(own - side, 0), own + digit)
+    right = rolling.runs(own, np.minimum(own + digit + side, rolling.n))
+    return [x.view(np.int64) for x in (grams[own], content, left, right)], text, [low - at[text], own - side - at[text], high - at[text]]
 
 
 def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400, digit: int | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -54,7 +64,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
     texts and are judged on the input. Columns named like a new one are
     replaced.
     """
-    digit = digit or depth // 2
+    digit = digit or depth // 6
     half = depth // 2
     carried = Carried(docs, text, keep)
     order = carried.order
@@ -66,29 +76,36 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
             keys = batch.column(1).to_numpy()
             for i, j in pieces(offsets):
                 at = offsets[i : j + 1] - offsets[i]
-                a, e, doc, low, high = _ranges(tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]]), at, depth, digit)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(keys[i:j][doc]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=_RANGE.names)
+                digits, doc, starts = _ranges(tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]]), at, depth, digit)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, digits), pa.array(keys[i:j][doc]), *[pa.array(x.astype(np.int32)) for x in starts]], names=_RANGE.names)
 
     found = base.select("body", "key").where(F.octet_length("body") >= depth).mapInArrow(ranges, _RANGE)
-    # first() takes all three from one row, any of the equal ranges.
-    equal = found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("key", "low", "high")])
-    by_first = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("key").alias("key"), F.min("low").alias("low"), F.min("high").alias("high"))
-    unique = by_first.where("total = 1").groupBy(F.col("key").alias("key_unique")).agg(F.collect_list("low").alias("unique_low"), F.collect_list("high").alias("unique_high"))
-    split = equal.join(by_first.where("kinds > 1").select("a"), "a", "left_semi")
-    open_ = split.groupBy(F.col("key").alias("key_open")).agg(F.collect_list(F.struct("low", "high", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))).alias("open"))
+    # first() takes all from one row, any of the equal ranges; the written table fixes which.
+    equal = cut(found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("left", "right", "key", "low", "mid", "high")]), "ranges")
+    by_first = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
+    weight = F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")
+    lower = F.struct(F.col("left").alias("digit"), F.lit(0).alias("side"), "low", F.least("mid", "high").alias("high"))
+    upper = F.struct(F.col("right").alias("digit"), F.lit(1).alias("side"), F.greatest(F.col("mid") + 1, "low").alias("low"), "high")
+    split = equal.join(by_first.where("kinds > 1").select("a"), "a", "left_semi").select("key", weight, F.explode(F.array(lower, upper)).alias("part"))
+    split = cut(split.select("key", "weight", "part.*").where("low <= high"), "parts")
+    by_third = split.groupBy("digit", "side").agg(F.sum("weight").alias("total"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
+    alone = by_first.union(by_third.select(F.lit(0).alias("a"), "total", F.lit(1).alias("kinds"), "key", "low", "high")).where("total = 1")
+    unique = alone.groupBy(F.col("key").alias("key_unique")).agg(F.collect_list("low").alias("unique_low"), F.collect_list("high").alias("unique_high"))
+    shared = by_third.where("total > 1").select("digit", "side")
+    open_ = split.join(shared, ["digit", "side"], "left_semi").groupBy(F.col("key").alias("key_open")).agg(F.collect_list(F.struct("low", "high", "weight")).alias("open"))
     open_ = open_.select("key_open", F.col("open.low").alias("open_low"), F.col("open.high").alias("open_high"), F.col("open.weight").alias("open_weight"))
 
     dealt = base.repartition("key")
-    judged = dealt.join(open_, F.col("key") == F.col("key_open"), "inner").select("body", "key", "open_low", "open_high", "open_weight")
+    judged = dealt.join(open_, F.col("key") == F.col("key_open"), "inner").select("body", "key", *carried.columns, "open_low", "open_high", "open_weight")  # all columns: the exchange of ``dealt`` is then the same for both uses
 
     def suffixes(batches):
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
             keys = batch.column(1).to_numpy()
-            low, low_at = lists(batch.column(2))
-            high, _ = lists(batch.column(3))
-            weight, _ = lists(batch.column(4))
+            low, low_at = lists(batch.column(batch.num_columns - 3))
+            high, _ = lists(batch.column(batch.num_columns - 2))
+            weight, _ = lists(batch.column(batch.num_columns - 1))
             for i, j in pieces(offsets):
                 rolling = tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]])
                 take = slice(low_at[i], low_at[j])
@@ -98,9 +115,9 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
                 pos = np.arange(first[-1]) - np.repeat(first[:-1] - low[take], sizes)
                 doc_of = np.repeat(doc, sizes)
                 s = pos + offsets[doc_of] - offsets[i]
-                yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(s, s + half).astype(np.int64)), pa.array(rolling.runs(s + half, s + depth).astype(np.int64)), pa.array(np.repeat(weight[take], sizes).astype(np.int32)), pa.array(keys[doc_of]), pa.array(pos.astype(np.int32))], names=_SUFFIX.names)
+                yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(s, s + half).view(np.int64)), pa.array(rolling.runs(s + half, s + depth).astype(np.uint32).view(np.int32)), pa.array(np.repeat(weight[take], sizes).astype(np.int32)), pa.array(keys[doc_of]), pa.array(pos.astype(np.int32))], names=_SUFFIX.names)
 
-    counted = judged.mapInArrow(suffixes, _SUFFIX).groupBy("d3", "d4").agg(F.sum("weight").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
+    counted = judged.mapInArrow(suffixes, _SUFFIX).groupBy("d4", "d5").agg(F.sum("weight").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
     lone = counted.where("n = 1").groupBy(F.col("key").alias("key_lone")).agg(F.collect_list("pos").alias("lone"))
     result = dealt.join(unique, F.col("key") == F.col("key_unique"), "left").join(lone, F.col("key") == F.col("key_lone"), "left").select("body", "unique_low", "unique_high", "lone", *carried.columns)
     span = T.ArrayType(T.StructType([T.StructField("start", _I), T.StructField("end", _I)]))
