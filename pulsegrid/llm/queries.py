@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, langid, mixing, near_dedup, quality, substring_dedup, suffix_dedup
+from . import decontaminate, fingerprint, html_text, langid, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup
 from .storage import read
 
 
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "licence", "dice", F.size("licences").cast("long").alias("n_licences"), F.array_join("licences.licence", ",").alias("licences"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.compared_with_edits(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
@@ -77,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
+    "op3_licences": op3_licences,
     "op4_fingerprint": op4_fingerprint,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -152,4 +158,18 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, C
 FROM lowered LEFT JOIN covered USING (row) LEFT JOIN listed USING (row)
 """
 
-ORACLES = {"op8_decontaminate": _CONTAMINATED, "op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}
+_LICENCES = r"""
+WITH templates(licence, grams) AS (VALUES {templates}),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+passages AS (SELECT row, text AS p FROM docs WHERE text IS NOT NULL
+  UNION SELECT row, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) FROM docs UNION SELECT row, unnest(string_split_regex(text, '[\n\r]+')) FROM docs),
+worded AS (SELECT row, regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM passages),
+grams AS (SELECT row, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM worded WHERE len(w) > 1),
+scored AS (SELECT row, licence, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM grams JOIN templates
+  ON len(own) * 0.8::DOUBLE <= len(grams) * 1.2::DOUBLE AND len(grams) * 0.8::DOUBLE <= len(own) * 1.2::DOUBLE),
+best AS (SELECT row, licence, max(dice) AS dice FROM scored WHERE dice >= 0.8::DOUBLE GROUP BY row, licence),
+listed AS (SELECT row, count(*) AS n, first(licence ORDER BY dice DESC, licence) AS licence, max(dice) AS dice, string_agg(licence, ',' ORDER BY dice DESC, licence) AS licences FROM best GROUP BY row)
+SELECT doc_id, licence, dice, coalesce(n, 0) AS n_licences, coalesce(licences, '') AS licences FROM docs LEFT JOIN listed USING (row)
+""".replace("{templates}", ", ".join(f"('{name}', {licences._bigrams(text)!r})" for name, text in licences.TEMPLATES))
+
+ORACLES = {"op3_licences": _LICENCES, "op8_decontaminate": _CONTAMINATED, "op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}
