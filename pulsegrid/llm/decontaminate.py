@@ -19,7 +19,8 @@ from .shingles import grams, lower_ascii, minima, words
 from .storage import Carried, cut, joined
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_COUNTED = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The same for texts whose A-Z are still as they were.
+_UNFOLDED = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def _windows(df: DataFrame, size: int, k: int, window: int, *keys: str) -> DataFrame:
@@ -71,7 +72,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         "key",
         *carried.columns,
         *(["body"] if "body" in carried.order else []),
-        F.coalesce(F.regexp_count("body", F.lit(_COUNTED)), F.lit(0)).cast("long").alias("n_words"),
+        F.size(words("body", _UNFOLDED)).cast("long").alias("n_words"),
         F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.array_join(F.slice("words", s["at"] + 1, s["size"]), " ").alias("text"))).alias("near"),
     )
     near = cut(near, "near")
