@@ -158,9 +158,11 @@ def to_resources(records: DataFrame) -> DataFrame:
 
     Components of one panel and time make one Observation, samples of one time
     one waveform, and a pressure is rebuilt from the systolic row's context.
-    Keys of fewer than three parts are left out.
+    Keys of fewer than three parts are left out. Samples go by ``ingest_seq``
+    and, where the records have it, ``place``.
     """
     parts = key_parts()
+    order = [c for c in ("ingest_seq", "place") if c in records.columns]
     rows = records.where(F.size(F.split("metric_name", "[|]")) >= 3).withColumns(parts)
     at = lambda k, otherwise: F.coalesce(F.try_element_at("context", F.lit(k)), F.lit(otherwise))
     quantity = F.struct("value", "unit")
@@ -168,7 +170,7 @@ def to_resources(records: DataFrame) -> DataFrame:
     panel = observed.where("component is not null").groupBy("resource_type", "subject_id", "code", "timestamp")
     panel = panel.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("component", quantity.alias("quantity")))).alias("component"))).alias("body"))
     wave = observed.where("component is null and unit = 'sampled'").withColumn("factor", at("factor", "1").cast("double"))
-    sample = F.struct("ingest_seq", (F.col("value") / F.col("factor")).alias("v"))
+    sample = F.struct(*order, (F.col("value") / F.col("factor")).alias("v"))
     wave = wave.groupBy("resource_type", "subject_id", "code", "timestamp").agg(F.sort_array(F.collect_list(sample)).alias("s"), F.max("factor").alias("factor"), F.max(at("period_ms", "0")).alias("period"))
     data = F.array_join(F.transform("s", lambda x: number_text(x["v"])), " ")
     wave = wave.select("resource_type", "subject_id", "code", "timestamp", F.to_json(F.struct(F.struct(F.col("period").cast("double").alias("period"), "factor", data.alias("data")).alias("valueSampledData"))).alias("body"))
