@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .order import neighbours
 from .shingles import grams, words
-from .storage import Carried
+from .storage import Carried, cut
 
 LEAST = 16
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -36,19 +36,22 @@ def sketches(df: DataFrame, text: str, out: str, shingle: int = 5, fraction: flo
     df = df.withColumn("sk_words", words(text, SPACES))
     df = grams(df, "sk_words", shingle, "sk_hash")
     df = df.withColumn("sk_hash", F.when(F.size("sk_words").between(1, shingle - 1), F.array(F.xxhash64("sk_words"))).otherwise(F.col("sk_hash")))
-    df = df.withColumn("sk_hash", F.array_sort(F.array_distinct("sk_hash")))
-    return df.withColumn(out, _kept(F.col("sk_hash"), fraction)).select(*[n for n in names if n != out], out)
+    return df.withColumn("sk_low", F.array_distinct(_below("sk_hash", fraction))).withColumn(out, _kept("sk_low", "sk_hash")).select(*[n for n in names if n != out], out)
 
 
-def _kept(hashes: Column, fraction: float) -> Column:
-    """Of sorted hashes those below the threshold, or the least ones."""
-    low = F.size(F.filter(hashes, lambda h: h < F.lit(_threshold(fraction))))
-    return F.slice(hashes, 1, F.greatest(low, F.lit(LEAST)))
+def _below(hashes: str | Column, fraction: float) -> Column:
+    return F.filter(hashes, lambda h: h < F.lit(_threshold(fraction)))
+
+
+def _kept(low: str | Column, all_: str | Column) -> Column:
+    """The hashes below the threshold, or the least of all; few texts need the second."""
+    return F.when(F.size(low) >= LEAST, F.array_sort(low)).otherwise(F.slice(F.array_sort(F.array_distinct(all_)), 1, LEAST))
 
 
 def merged(a: str, b: str, fraction: float = 0.125) -> Column:
     """The sketch of the union of two documents' shingles."""
-    return _kept(F.array_sort(F.array_union(a, b)), fraction)
+    both = F.array_union(a, b)
+    return _kept(_below(both, fraction), both)
 
 
 def _complete(sketch: str, fraction: float) -> Column:
@@ -86,24 +89,28 @@ def compared_with_edits(docs: DataFrame, text: str = "text", ident: str = "doc_i
     ``edited_sketch``, ``near_edited`` and ``near_next``; input columns of
     these names are replaced.
 
-    Only keys and lengths are put in order. Texts are shuffled once, by key;
-    of the next text no more than the part that is taken is sent on.
+    Only keys and lengths are put in order. Texts are sketched once and
+    shuffled once, by key; of the next text no more than the part that is
+    taken is sent on.
     """
     carried = Carried(docs, text, keep)
     c_id = carried.at(ident)
-    if c_id not in carried.df.columns:
+    if c_id not in carried.columns:
         raise ValueError(f"keep must hold {ident}")
-    body = F.coalesce("body", F.lit(""))
-    base = carried.df.withColumns({"key": carried.row_key(), "body": body})
+    base = carried.df.withColumns({"key": carried.row_key(), "body": F.coalesce("body", F.lit(""))})
     lengths = base.groupBy(F.col(c_id).alias("id"), "key").agg(F.max(F.char_length("body")).alias("n"))
-    ordered = neighbours(lengths, ["id", "key"], ["key", "n"]).select("key", "n", "after", "before")
+    ordered = cut(neighbours(lengths, ["id", "key"], ["key", "n"]).select("key", "n", "after", "before"), "order")
     first = ordered.where("before is null").select("key", "n").head()  # the least id: its next is the greatest
     if first is not None:
         ordered = ordered.withColumn("after", F.coalesce("after", F.struct(F.lit(first["key"]).alias("key"), F.lit(first["n"]).alias("n"))))
     goes = ordered.select(F.col("key").alias("from_key"), F.col("after.key").alias("to_key"), F.floor(F.col("after.n") / 3).cast("int").alias("take"))
-    own = sketches(base, "body", "sketch", shingle, fraction).repartition("key")
-    sent = own.select("key", "body", "sketch", *carried.columns).dropDuplicates(["key"])
-    sent = sent.join(goes, F.col("key") == F.col("from_key")).select("to_key", F.substring("body", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))
+    known = cut(sketches(base.select("key", "body"), "body", "sketch", shingle, fraction).select("key", "sketch"), "sketches")
+    known = known.groupBy(F.col("key").alias("known_key")).agg(F.first("sketch").alias("sketch"))
+    dealt = base.repartition("key")
+    own = dealt.join(known, F.col("key") == F.col("known_key"))
+    # The other columns go along only so that the exchange of ``dealt`` is the same for both uses.
+    sent = own.join(goes, F.col("key") == F.col("from_key")).select("to_key", F.struct(F.substring("body", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), *carried.columns).alias("next"))
+    sent = sent.groupBy("to_key").agg(F.first("next").alias("next")).select("to_key", "next.head", "next.next_sketch")
     both = own.join(sent, F.col("key") == F.col("to_key"))
     n = F.char_length("body")
     both = both.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("body", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))})
