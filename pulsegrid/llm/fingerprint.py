@@ -10,6 +10,8 @@ two, without what lies above the threshold if anything lies below.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +63,19 @@ def _complete(sketch: str, fraction: float) -> Column:
 
 def containment(a: str, b: str, fraction: float = 0.125) -> Column:
     """Estimated share of the smaller document's shingles that the other has; two empty sketches: 1."""
-    to = F.least(_complete(a, fraction), _complete(b, fraction))
-    low_a, low_b = (F.size(F.filter(x, lambda h: h <= to)) for x in (a, b))
-    shared = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= to)).cast("double")
-    smaller = F.least(low_a, low_b)
-    return F.when(smaller > 0, shared / F.greatest(smaller, F.lit(1))).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+    def counted(to: Column) -> Column:
+        return F.struct(*[F.size(F.filter(x, lambda h: h <= to)).alias(n) for n, x in (("a", F.col(a)), ("b", F.col(b)), ("both", F.array_intersect(a, b)))])
+
+    def share(n: Column) -> Column:
+        smaller = F.least(n["a"], n["b"])
+        return F.when(smaller > 0, n["both"].cast("double") / smaller.cast("double")).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+
+    return _with(F.least(_complete(a, fraction), _complete(b, fraction)), lambda to: _with(counted(to), share))
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, also where a lambda inside ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def printed(sketch: str) -> Column:
