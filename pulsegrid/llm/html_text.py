@@ -36,12 +36,14 @@ _SPACED = frozenset("br td th wbr img input textarea button iframe object video
 _RAW = frozenset("script style noscript template svg textarea title iframe xmp noembed noframes object canvas math".split())
 _DROPPED = frozenset("nav footer aside form select button menu dialog head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Words of class and id that mark boilerplate.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion rail related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense alert alerts announcement banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promoted promotion rail recommended related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: On an article, main element or heading only these count: their classes often name what is around them.
+_STRONG = frozenset("ad ads advert adverts advertisement comment comments related replies reply promo promoted sponsored recommended".split())
 #: Of these, a main element inside undoes the mark: they may wrap a page, or lack an end.
 _LAYOUT = frozenset("header nav menu banner navigation masthead topbar toolbar".split())
 
@@ -52,12 +54,13 @@ _PART = re.compile(r"[A-Za-z][a-z]*+|[A-Z]++")
 _HOST = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
 
-def _reason(name: str, attributes: str) -> str | None:
-    """The word that marks an element as boilerplate."""
+def _reason(name: str, attributes: str, inside: bool) -> str | None:
+    """The word that marks an element as boilerplate; ``inside`` a main element a header's class does not."""
     if name in _DROPPED:
         return name
     if not attributes or name in ("html", "body"):
         return None
+    marks = _STRONG if name in _HEADINGS or name in ("article", "main") else _MARKS - {"header"} if inside else _MARKS
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -66,7 +69,7 @@ def _reason(name: str, attributes: str) -> str | None:
             return value.lower()
         if key in ("class", "id"):
             for part in _PART.findall(value):
-                if part.lower() in _MARKS:
+                if part.lower() in marks:
                     return part.lower()
     return None
 
@@ -144,7 +147,7 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         if name in _HEADINGS:
             heading = 1
-        why = _reason(name, attributes)
+        why = _reason(name, attributes, main_depth > 0)
         is_main = why is None and _is_main(name, attributes)
         if skip and is_main and skip[1] in _LAYOUT:
             flush()

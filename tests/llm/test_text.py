@@ -23,6 +23,19 @@ def test_odd_markup(page, texts):
     assert [t for t, k in html_text.lines(page) if k] == texts
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<article class='post tags-news'><div class='entry-header'><h1 class='page-header'>T</h1></div><p>x</p><div class='share-box'>s</div></article>", ["T", "x"]),
+    ("<main><p>x</p><div id='comments'><p>c</p></div><article class='related'>r</article></main>", ["x"]),
+    ("<body class='has-sidebar'><div class='cookie-notice'>n</div><div>x</div></body>", ["x"]),
+    ("<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table><ul><li>d<li>e</ul></article>", ["a b", "c", "d", "e"]),
+    ("<article>x<br/>y<span>z</span>&nbsp;&#233;&lt;</article>", ["x yz é<"]),
+])
+def test_marks_in_classes(page, texts):
+    found = html_text.lines(page)
+    kind = 2 if any(k == 2 for _, k in found) else 1
+    assert [t for t, k in found if k == kind] == texts
+
+
 def test_unclosed_menu_does_not_swallow_the_article():
     assert [t for t, k in html_text.lines("<nav><ul><li>m<article><p>x</p></article>") if k == 2] == ["x"]
 
