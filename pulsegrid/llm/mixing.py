@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shingles import words
 from .storage import Carried, cut
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def _bucket(column: str) -> F.Column:
@@ -53,8 +54,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """All columns of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``size``, ``source_size``, ``target`` and ``copies``.
 
     ``size`` counts words (runs of anything but x20 and x09-x0D; null text: 0).
     ``copies`` is how often the mix takes the document: the integers between
@@ -64,13 +65,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     Rows tied in size and id are interchangeable. A null source is a source of
     its own. Every row is returned, also with zero copies.
     """
-    carried = Carried(docs, text)
+    kept = docs.columns if keep is None else keep
+    carried = Carried(docs, text, list(dict.fromkeys([*kept, source, ident, text])))
     c_source, c_id = carried.at(source), carried.at(ident)
     sized = carried.df.withColumns({
-        "size": F.coalesce(F.regexp_count("body", F.lit(WORD)), F.lit(0)).cast("long"),
+        "size": F.size(words("body", SPACES)).cast("long"),
         "source": F.col(c_source).cast("string"),
         "bucket": _bucket(c_id),
     })
+    if text.lower() not in {n.lower() for n in kept}:
+        sized = cut(sized.drop("body"), "mix-sizes")  # texts are read once, to be counted
     groups = cut(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-groups")
     of_size = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
     by_source = targets(of_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
@@ -87,4 +91,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 3), 16, 10).cast("double") / F.lit(4096.0)
     ranked = ranked.withColumns({"step": step, "offset": offset, "place": (F.col("before") + F.col("rank")).cast("double")})
     copies = F.floor(F.col("place") * F.col("step") + F.col("offset")) - F.floor((F.col("place") - 1.0) * F.col("step") + F.col("offset"))
-    return carried.restore(ranked.withColumn("copies", copies.cast("long")), "size", "source_size", "target", "copies")
+    new = ["size", "source_size", "target", "copies"]
+    ranked = ranked.withColumn("copies", copies.cast("long"))
+    given = [F.col(c).alias(n) for c, n in zip(carried.order, carried.names) if n.lower() in {k.lower() for k in kept} - {*new}]
+    return ranked.select(*given, *new)
