@@ -70,7 +70,8 @@ def normal_words(text: str) -> list[str]:
     return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
 
 
-def _bigrams(text: str) -> list[str]:
+def template_bigrams(text: str) -> list[str]:
+    """The distinct bigrams of a template, sorted."""
     tokens = normal_words(text)
     return sorted({f"{a} {b}" for a, b in zip(tokens, tokens[1:])})
 
@@ -91,7 +92,7 @@ def telltales(of: tuple[tuple[str, str], ...], least: float) -> list[str]:
     they touch more than a match can lack.
     """
     chosen: set[str] = set()
-    for grams in (_bigrams(text) for _, text in of):
+    for grams in (template_bigrams(text) for _, text in of):
         open_ = {tuple(g.split(" ")) for g in grams}
         lacking = len(open_) * (1 - least / (2 - least))
         open_, touched = {g for g in open_ if not chosen & {*g}}, sum(bool(chosen & {*g}) for g in open_)
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, lea
     compared. Null and empty texts and texts of one word have no bigrams and
     no licence. Columns named like a new one are replaced.
     """
-    known = [(name, grams) for name, grams in ((name, _bigrams(t)) for name, t in of) if grams]
+    known = [(name, grams) for name, grams in ((name, template_bigrams(t)) for name, t in of) if grams]
     if not 0 < least <= 1 or not known:
         raise ValueError("least must be in (0, 1], and some template must have bigrams")
     carried = Carried(docs, text, keep)

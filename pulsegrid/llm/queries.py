@@ -170,6 +170,6 @@ scored AS (SELECT row, licence, 2.0::DOUBLE * len(list_intersect(own, grams)) /
 best AS (SELECT row, licence, max(dice) AS dice FROM scored WHERE dice >= 0.8::DOUBLE GROUP BY row, licence),
 listed AS (SELECT row, count(*) AS n, first(licence ORDER BY dice DESC, licence) AS licence, max(dice) AS dice, string_agg(licence, ',' ORDER BY dice DESC, licence) AS licences FROM best GROUP BY row)
 SELECT doc_id, licence, dice, coalesce(n, 0) AS n_licences, coalesce(licences, '') AS licences FROM docs LEFT JOIN listed USING (row)
-""".replace("{templates}", ", ".join(f"('{name}', {licences._bigrams(text)!r})" for name, text in licences.TEMPLATES))
+""".replace("{templates}", ", ".join(f"('{name}', {licences.template_bigrams(text)!r})" for name, text in licences.TEMPLATES))
 
 ORACLES = {"op3_licences": _LICENCES, "op8_decontaminate": _CONTAMINATED, "op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}

@@ -80,9 +80,9 @@ def brute_licences(text, least=0.8):
     best = {}
     parts = {text, *re.split("\n[ \t\n\x0b\x0c\r]*\n", text), *re.split("[\n\r]+", text)} if text else set()
     for part in parts:
-        own = set(licences._bigrams(part))
+        own = set(licences.template_bigrams(part))
         for name, template in licences.TEMPLATES:
-            d = dice(own, set(licences._bigrams(template)))
+            d = dice(own, set(licences.template_bigrams(template)))
             if d >= least and own:
                 best[name] = max(d, best.get(name, 0))
     return sorted(best.items(), key=lambda x: (-x[1], x[0]))
