@@ -8,9 +8,12 @@ each map task pre-aggregates the cells of its own sketch and the shuffle merges
 them by addition. A k-gram occurs as often as any window that belongs to it or
 more often, and a cell never undercounts, so windows with an estimate of one
 occur once; all others are estimated repeated and none is lost. Pass 2
-groups exactly the windows estimated repeated by a 96-bit hash of their words.
+groups exactly what is estimated repeated. Ranges of windows with equal words
+throughout are grouped whole: all their windows are repeated. Where ranges share
+the k-gram but not all words, one of each kind is spread into its windows,
+which are grouped by a 96-bit hash of their words.
 
-Both counts return the complement: a cell or window that was counted once
+All counts return the complement: a cell or window that was counted once
 still knows the text and position it came from, so positions come back without
 a join on a hot key, and no task ever holds the group of a frequent window.
 """
@@ -26,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .storage import Carried, lists, pieces, rebuild, utf8
+from .storage import Carried, cut, lists, pieces, rebuild, utf8
 
 _L, _I = T.LongType(), T.IntegerType()
 _CELL = T.StructType([T.StructField("cell", _L), T.StructField("key", _L), T.StructField("low", _I), T.StructField("high", _I)])
-_WINDOW = T.StructType([T.StructField("h", _L), T.StructField("g", _I), T.StructField("key", _L), T.StructField("pos", _I)])
+_RANGE = T.StructType([*[T.StructField(n, _L) for n in ("a", "e", "key")], T.StructField("low", _I), T.StructField("high", _I)])
+_WINDOW = T.StructType([T.StructField("h", _L), T.StructField("g", _I), T.StructField("weight", _I), T.StructField("key", _L), T.StructField("pos", _I)])
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: int = 8, depth: int = 2, keep: list[str] | None = None) -> DataFrame:
@@ -69,36 +73,61 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: in
     dealt = base.repartition("key")
     judged = dealt.join(once, F.col("key") == F.col("key_unique"), "left").drop("key_unique")
 
+    def ranges(batches):
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(0))
+            keys = batch.column(1).to_numpy()
+            unique, unique_at = lists(batch.column(batch.num_columns - 2))
+            for i, j in pieces(offsets):
+                part = data[offsets[i] : offsets[j]]
+                starts, ends, at = tokens.words(part, offsets[i : j + 1] - offsets[i])
+                rolling = tokens.Rolling(tokens.word_codes(part, starts, ends))
+                grams = rolling.grams(k)
+                own, doc, low, high = tokens.owned_ranges(grams, at, window, k)
+                known = unique[unique_at[i] : unique_at[j]] + np.repeat(at[:-1], np.diff(unique_at[i : j + 1]))
+                open_ = ~np.isin(low, known)
+                own, doc, low, high = own[open_], doc[open_], low[open_], high[open_]
+                if len(own):
+                    inner = ((own - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
+                    content = tokens.mix(rolling.runs(low, high + window) ^ tokens.mix(inner + np.uint64(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64)), pa.array(content.view(np.int64)), pa.array(keys[i:j][doc]), *[pa.array((x - at[doc]).astype(np.int32)) for x in (low, high)]], names=_RANGE.names)
+
+    # All columns, although the text and key would do: only then is the exchange of ``dealt`` the same for every use.
+    found = judged.select("body", "key", *carried.columns, "low", "high").mapInArrow(ranges, _RANGE)
+    # first() takes all from one row, any of the equal ranges; the written table fixes which.
+    equal = cut(found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("key", "low", "high")]), "ranges")
+    by_gram = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
+    false = by_gram.where("total = 1").groupBy(F.col("key").alias("key_false")).agg(F.collect_list("low").alias("false_low"), F.collect_list("high").alias("false_high"))
+    spread = equal.join(by_gram.where("kinds > 1").select("a"), "a", "left_semi")
+    spread = spread.groupBy(F.col("key").alias("key_open")).agg(F.collect_list(F.struct("low", "high", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))).alias("open"))
+    spread = spread.select("key_open", F.col("open.low").alias("open_low"), F.col("open.high").alias("open_high"), F.col("open.weight").alias("open_weight"))
+    opened = judged.join(spread, F.col("key") == F.col("key_open")).select("body", "key", *carried.columns, "low", "high", "open_low", "open_high", "open_weight")
+
     def windows(batches):
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
             keys = batch.column(1).to_numpy()
-            low, low_at = lists(batch.column(batch.num_columns - 2))
-            high, _ = lists(batch.column(batch.num_columns - 1))
+            low, low_at = lists(batch.column(batch.num_columns - 3))
+            high, _ = lists(batch.column(batch.num_columns - 2))
+            weight, _ = lists(batch.column(batch.num_columns - 1))
             for i, j in pieces(offsets):
                 part = data[offsets[i] : offsets[j]]
                 starts, ends, at = tokens.words(part, offsets[i : j + 1] - offsets[i])
-                found, doc = [], []
-                for d in np.flatnonzero(np.diff(at) >= window):
-                    flags = tokens.outside(int(at[d + 1] - at[d]) - window + 1, low[low_at[i + d] : low_at[i + d + 1]], high[low_at[i + d] : low_at[i + d + 1]])
-                    pos = np.flatnonzero(flags)
-                    if len(pos):
-                        found.append(pos)
-                        doc.append(np.full(len(pos), d))
-                if not found:
-                    continue
-                pos, doc = np.concatenate(found), np.concatenate(doc)
+                take = slice(low_at[i], low_at[j])
+                of, pos = tokens.spread(low[take], high[take])
+                doc = np.repeat(np.arange(j - i), np.diff(low_at[i : j + 1]))[of]
                 rolling = tokens.Rolling(tokens.word_codes(part, starts, ends))
                 s = pos + at[doc]
                 h, g = rolling.runs(s, s + k), rolling.runs(s + k, s + window)
-                h, g = (h ^ (g & np.uint64(0xFFFFFFFF00000000))).astype(np.int64), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(keys[i:j][doc]), pa.array(pos.astype(np.int32))], names=_WINDOW.names)
+                h, g = (h ^ (g & np.uint64(0xFFFFFFFF00000000))).view(np.int64), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(weight[take][of].astype(np.int32)), pa.array(keys[i:j][doc]), pa.array(pos.astype(np.int32))], names=_WINDOW.names)
 
-    # All columns, although the text and key would do: only then is the exchange of ``dealt`` the same for both uses.
-    grouped = judged.select("body", "key", *carried.columns, "low", "high").mapInArrow(windows, _WINDOW).groupBy("h", "g")
-    alone = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos")).where("n = 1")
+    grouped = opened.mapInArrow(windows, _WINDOW).groupBy("h", "g")
+    alone = grouped.agg(F.sum("weight").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos")).where("n = 1")
     lone = alone.groupBy(F.col("key").alias("key_lone")).agg(F.collect_list("pos").alias("lone"))
-    result = judged.join(lone, F.col("key") == F.col("key_lone"), "left").select("body", "low", "high", "lone", *carried.columns)
+    result = judged.join(false, F.col("key") == F.col("key_false"), "left").join(lone, F.col("key") == F.col("key_lone"), "left")
+    low, high = (F.concat(F.coalesce(x, F.array()), F.coalesce(f"false_{x}", F.array())) for x in ("low", "high"))
+    result = result.select("body", low.alias("low"), high.alias("high"), "lone", *carried.columns)
     schema = T.StructType([*carried.fields(), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def apply(batches):

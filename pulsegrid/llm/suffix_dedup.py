@@ -109,13 +109,10 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
             for i, j in pieces(offsets):
                 rolling = tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]])
                 take = slice(low_at[i], low_at[j])
-                doc = np.repeat(np.arange(i, j), np.diff(low_at[i : j + 1]))
-                sizes = high[take] - low[take] + 1
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                pos = np.arange(first[-1]) - np.repeat(first[:-1] - low[take], sizes)
-                doc_of = np.repeat(doc, sizes)
+                of, pos = tokens.spread(low[take], high[take])
+                doc_of = np.repeat(np.arange(i, j), np.diff(low_at[i : j + 1]))[of]
                 s = pos + offsets[doc_of] - offsets[i]
-                yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(s, s + half).view(np.int64)), pa.array(rolling.runs(s + half, s + depth).astype(np.uint32).view(np.int32)), pa.array(np.repeat(weight[take], sizes).astype(np.int32)), pa.array(keys[doc_of]), pa.array(pos.astype(np.int32))], names=_SUFFIX.names)
+                yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(s, s + half).view(np.int64)), pa.array(rolling.runs(s + half, s + depth).astype(np.uint32).view(np.int32)), pa.array(weight[take][of].astype(np.int32)), pa.array(keys[doc_of]), pa.array(pos.astype(np.int32))], names=_SUFFIX.names)
 
     counted = judged.mapInArrow(suffixes, _SUFFIX).groupBy("d4", "d5").agg(F.sum("weight").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
     lone = counted.where("n = 1").groupBy(F.col("key").alias("key_lone")).agg(F.collect_list("pos").alias("lone"))

@@ -164,3 +164,10 @@ def outside(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     np.add.at(edge, low, 1)
     np.add.at(edge, high + 1, -1)
     return np.cumsum(edge)[:n] == 0
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, value) of each value in the ranges low..high, both included."""
+    sizes = high - low + 1
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(np.arange(len(low)), sizes), np.arange(first[-1]) - np.repeat(first[:-1] - low, sizes)
