@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .storage import Carried, cut, lists, pieces, rebuild, utf8
+from .storage import Carried, lists, pieces, rebuild, utf8
 
 _L, _I = T.LongType(), T.IntegerType()
 _CELL = T.StructType([T.StructField("cell", _L), T.StructField("key", _L), T.StructField("low", _I), T.StructField("high", _I)])
-_RANGE = T.StructType([*[T.StructField(n, _L) for n in ("a", "e", "key")], T.StructField("low", _I), T.StructField("high", _I)])
+# Not null, so that joins add no filters and the exchange of ranges is the same for every use.
+_RANGE = T.StructType([*[T.StructField(n, _L, False) for n in ("a", "e", "key")], T.StructField("low", _I, False), T.StructField("high", _I, False)])
 _WINDOW = T.StructType([T.StructField("h", _L), T.StructField("g", _I), T.StructField("weight", _I), T.StructField("key", _L), T.StructField("pos", _I)])
 
 
@@ -94,11 +95,13 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, k: in
 
     # All columns, although the text and key would do: only then is the exchange of ``dealt`` the same for every use.
     found = judged.select("body", "key", *carried.columns, "low", "high").mapInArrow(ranges, _RANGE)
-    # first() takes all from one row, any of the equal ranges; the written table fixes which.
-    equal = cut(found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("key", "low", "high")]), "ranges")
-    by_gram = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
-    false = by_gram.where("total = 1").groupBy(F.col("key").alias("key_false")).agg(F.collect_list("low").alias("false_low"), F.collect_list("high").alias("false_high"))
-    spread = equal.join(by_gram.where("kinds > 1").select("a"), "a", "left_semi")
+    # Equal ranges are equally long; the representative is fixed by its key, also if a task runs again.
+    equal = found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min_by("low", "key").alias("low"), F.min(F.col("high") - F.col("low")).alias("more"))
+    by_gram = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.min(c).alias(c) for c in ("key", "low", "more")])
+    by_gram = by_gram.where("total > 0 and key is not null and low >= 0 and more >= 0")  # always so; keeps the columns, and thus the exchanges, the same for both uses
+    false = by_gram.where("total = 1").withColumn("high", F.col("low") + F.col("more"))
+    false = false.groupBy(F.col("key").alias("key_false")).agg(F.collect_list("low").alias("false_low"), F.collect_list("high").alias("false_high"))
+    spread = equal.join(by_gram.where("kinds > 1").select("a"), "a", "left_semi").withColumn("high", F.col("low") + F.col("more"))
     spread = spread.groupBy(F.col("key").alias("key_open")).agg(F.collect_list(F.struct("low", "high", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))).alias("open"))
     spread = spread.select("key_open", F.col("open.low").alias("open_low"), F.col("open.high").alias("open_high"), F.col("open.weight").alias("open_weight"))
     opened = judged.join(spread, F.col("key") == F.col("key_open")).select("body", "key", *carried.columns, "low", "high", "open_low", "open_high", "open_weight")
