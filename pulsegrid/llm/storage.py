@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -65,11 +62,10 @@ class Carried:
     ``df`` holds the kept input columns as ``c0, c1, ...``, but for ``text``,
     which is there once, as the string column ``body``. ``restore`` gives the
     columns their names back; a new column replaces an input column of its
-    name. Arrow batches are held to 16 MB, as texts may be of any length.
+    name.
     """
 
     def __init__(self, df: DataFrame, text: str | None = None, keep: list[str] | None = None):
-        df.sparkSession.conf.set(_BATCH, str(1 << 24))
         lower = [n.lower() for n in df.columns]
         plain = df.toDF(*[f"i{i}" for i in range(len(lower))])
         wanted = range(len(lower)) if keep is None else [lower.index(n.lower()) for n in keep]
