@@ -32,24 +32,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .storage import Carried, cut, rebuild, utf8
+from .storage import Carried, cut, joined, rebuild, utf8
 
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _U = np.uint64
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text, signed; no words: zero."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hash of each run of ``shingle`` words; of all words, where there are fewer."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, seed)).astype(np.int64))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text, signed; no words: zero."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(majority, bitorder="little").view(np.int64)[0])
@@ -192,3 +197,134 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = nodes.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Bands and minima of each: texts of similarity s meet in some band but for (1 - s ** 5) ** 25 of them, 5e-5 at 0.8.
+BANDS, ROWS = 25, 5
+_FACTORS = np.random.default_rng(65).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """For each band, a key of the least of ``hashes`` in ``ROWS`` orders; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~_U(0))
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[None, i : i + 4096] * _FACTORS[:, None]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * _U(0x9E3779B97F4A7C15)
+        keys ^= keys >> _U(29)
+    return keys.view(np.int64)
+
+
+def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    data, offsets, _ = utf8(texts)
+    raw = data.tobytes()
+    return [np.unique(shingle_hashes(raw[a:b], shingle)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _marked(rows: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, key, node, bands`` of ``doc_id, key, body``; a node is a set of shingles."""
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = _sets(batch.column(2), shingle)
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), bands], names=schema.names)
+
+    return rows.select("doc_id", "key", "body").mapInArrow(run, schema)
+
+
+def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` of ``node, body``."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            found = [s.view(np.int64) for s in _sets(batch.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+
+    return rows.select("node", "body").mapInArrow(run, schema)
+
+
+def _candidates(rows: DataFrame, wide: int, small: int = 9) -> DataFrame:
+    """``a, b, more``: of ``shard, component, node``, pairs of different components in one shard.
+
+    A node meets at most ``wide`` of those that follow, in shards of ``small``
+    nodes all; ``more`` says that there are others.
+    """
+    schema = T.StructType([*_EDGE.fields, T.StructField("more", T.BooleanType())])
+
+    def search(shard: np.ndarray, component: np.ndarray, node: np.ndarray):
+        n = len(shard)
+        fresh_shard = np.append(True, np.diff(shard) != 0)
+        fresh = fresh_shard | np.append(True, np.diff(component) != 0)
+        ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], n), np.diff(np.append(np.flatnonzero(first), n)))
+        own, own_end, end = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)), ends(fresh), ends(fresh_shard)
+        begin = np.maximum.accumulate(np.where(fresh_shard, np.arange(n), 0))
+        others = end - own_end
+        most = np.minimum(others, np.where(end - begin <= small, small, wide))
+        at = np.repeat(np.arange(n), most)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)
+        # Nodes of one component begin at different places, so that none is met by all.
+        to = own_end[at] + (at - own[at] + step) % others[at]
+        x, y = node[at], node[to]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((others > most)[at])], names=schema.names)
+
+    def run(batches):
+        rest = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
+            if not len(now[0]):
+                continue
+            whole = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last shard may go on
+            if whole:
+                yield search(*[c[:whole] for c in now])
+            rest = [c[whole:] for c in now]
+        if len(rest[0]):
+            yield search(*rest)
+
+    ordered = rows.select("shard", "component", "node").repartition("shard").sortWithinPartitions("shard", "component", "node")
+    return ordered.mapInArrow(run, schema).groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def similar(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``doc_id``, ``key`` and ``root`` of each row: rows of one root are linked by similar texts.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is
+    ``least`` or more. The forest has a tree for each band of minima: its
+    metric counts the minima of the band that differ, and its radius is 0. At
+    similarity 0.8 SimHashes differ in up to 17 of 64 bits, a radius that
+    prunes nothing. What meets in a shard is confirmed by exact sets. Nodes of
+    a large shard meet few others first, and what is then still in different
+    components meets more, until all pairs of different components have met.
+    ``key`` is a hash of all values of a row. Texts without words are alike.
+    """
+    carried = Carried(docs, text)
+    rows = carried.df.select(F.col(carried.at(ident) if ident != text else "body").alias("doc_id"), F.xxhash64(*carried.order).alias("key"), "body")
+    marked = cut(_marked(rows, shingle), "minima")
+    nodes = marked.groupBy("node").agg(F.min("key").alias("key"))
+    shards = marked.select("node", F.explode("bands").alias("shard")).distinct()
+    several = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
+    shards = cut(shards.join(several, "shard", "left_semi"), "shards")
+    wanted = cut(nodes.join(shards.select("node").distinct(), "node", "left_semi").select("node", "key"), "wanted")
+    texts = joined(rows.select("key", "body"), wanted, ["key"], "inner").select("node", "body")
+    sets = cut(_shingled(texts, shingle).dropDuplicates(["node"]), "sets")
+    found, now, wide, more = None, shards.select("shard", F.col("node").alias("component"), "node"), 1, True
+    while more:
+        pairs = cut(_candidates(now, wide), "pairs")
+        more = bool(pairs.agg(F.max("more")).first()[0])
+        both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), shared.alias("shared"))
+        linked = cut(both.where((F.col("shared") / (F.col("n") - F.col("shared"))) >= least).select("a", "b"), "links")
+        found = linked if found is None else found.union(linked)
+        component = components(found)
+        if more:
+            named = shards.join(component, "node", "left").select("shard", F.coalesce("component", "node").alias("component"), "node")
+            open_ = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+            now, wide = cut(named.join(open_.select("shard"), "shard", "left_semi"), "open"), 16 * wide
+    return marked.join(component, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))

@@ -156,3 +156,52 @@ def test_cut_hashes_match(small):
     rows = small.collect()
     got = {r.doc_id: hashlib.sha256(r.kept_text.encode()).hexdigest() for r in substring_dedup.remove_repeated(small, keep=["doc_id"]).collect()}
     assert got == {r.doc_id: hashlib.sha256(x[2].encode()).hexdigest() for r, x in zip(rows, brute_words([r.text for r in rows]))}
+
+
+def five_word_sets(texts):
+    words = [split_words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def similar_groups(texts, least=0.8):
+    sets = five_word_sets(texts)
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= least * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def grouped(keys, roots):
+    groups = {}
+    for k, r in zip(keys, roots):
+        groups.setdefault(r, set()).add(k)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_similar_texts_with_planted_copies(spark, small):
+    """Copies at similarities 0.7 to 0.97, most of them beyond 3 bits of SimHash; one large group."""
+    rng = random.Random(11)
+    texts = [r.text for r in small.collect()]
+    for t in [prose(rng, 300, 10**6) for _ in range(60)] + [texts[0]] * 40:
+        words = t.split(" ")
+        n = len(words)
+        for at in rng.sample(range(n), max(1, round(n * rng.choice([0.005, 0.01, 0.015, 0.02, 0.03])))):
+            words[at] = f"edit{rng.randrange(10**6)}"
+        texts += [t, " ".join(words)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    roots = similar_groups(texts)
+    assert grouped(*zip(*((r.doc_id, r.root) for r in near_dedup.similar(df).collect()))) == grouped(range(len(texts)), roots)
+    bits = [brute_simhash(t) for t in texts]
+    assert sum(roots[i] == roots[i + 1] and (bits[i] ^ bits[i + 1]).bit_count() > 3 for i in range(200, 320, 2)) > 10
+
+
+def test_similar_texts_of_awkward_rows(spark, awkward):
+    rows = near_dedup.similar(awkward).collect()
+    assert len(rows) == awkward.count() and near_dedup.similar(awkward.limit(0)).count() == 0
+    data = [r for r in awkward.collect() if r.doc_id is not None]
+    known = dict(zip((r.doc_id for r in data), similar_groups([r.text for r in data])))
+    assert grouped(*zip(*((r.doc_id, r.root) for r in rows if r.doc_id is not None))) == grouped(known, known.values())

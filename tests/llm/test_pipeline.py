@@ -61,3 +61,14 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert corpus_pipeline.language(spark, docs, SF).count() == docs.count()
     assert corpus_pipeline.language(spark, docs.withColumn("text", F.lit("12 34")), SF).count() == 0
+
+
+def test_near_copies_beyond_three_bits_go(spark, small):
+    """A copy with two words of 100 changed: five-word similarity 0.82, SimHashes further apart than 3 bits."""
+    text = " ".join(f"w{i}" for i in range(100))
+    copies = [(10_000, text), (10_001, text.replace("w30 ", "x ").replace("w70 ", "y "))]
+    a, b = map(brute_simhash, (copies[0][1], copies[1][1]))
+    assert (a ^ b).bit_count() > 3
+    planted = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in copies], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = small.limit(20).select(*planted.columns).union(planted)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} & {10_000, 10_001} == {10_000}
