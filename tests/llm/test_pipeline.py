@@ -72,3 +72,13 @@ def test_near_copies_beyond_three_bits_go(spark, small):
     planted = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in copies], "doc_id long, text string, lang string, source string, n_chars long")
     docs = small.limit(20).select(*planted.columns).union(planted)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} & {10_000, 10_001} == {10_000}
+
+
+def test_each_group_keeps_its_own_row(spark):
+    """Several null ids, and ids that are repeated with different texts."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (3, text("c") + " more"), (1, text("d")), (2, text("d") + " more"), (2, text("e")), (2, text("f")), (2, text("f")), (7, text("g")), (7, text("g") + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 7 and {(None, text("a")), (None, text("b")), (3, text("c") + " more"), (1, text("d")), (2, text("e")), (2, text("f"))} < {*got}
+    assert sum(i == 7 for i, _ in got) == 1
