@@ -46,6 +46,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _STRONG = frozenset("ad ads advert adverts advertisement comment comments related replies reply promo promoted sponsored recommended".split())
 #: Of these, a main element inside undoes the mark: they may wrap a page, or lack an end.
 _LAYOUT = frozenset("header nav menu banner navigation masthead topbar toolbar".split())
+#: These hold main elements of others, also where a page has none elsewhere.
+_OTHERS = frozenset("dialog select head hidden comment comments commentlist disqus replies reply respond related recommended promo promos promoted promotion sponsor sponsored ad ads advert adverts advertisement advertising adsense complementary".split())
+#: From here a class says that an element has, or lacks, a part: it does not name one.
+_MODIFIER = re.compile(r"(?i)(?<![a-z])(?:has|with|without|no)[-_].*")
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -68,7 +72,7 @@ def _reason(name: str, attributes: str, inside: bool) -> str | None:
         if key == "role" and value.lower() in _ROLES:
             return value.lower()
         if key in ("class", "id"):
-            for part in _PART.findall(value):
+            for part in (p for token in value.split() for p in _PART.findall(_MODIFIER.sub("", token))):
                 if part.lower() in marks:
                     return part.lower()
     return None
@@ -79,7 +83,25 @@ def _is_main(name: str, attributes: str) -> bool:
 
 
 def lines(html: str) -> list[tuple[str, int]]:
-    """(text, kind) of each block of a page, in page order; white space is collapsed."""
+    """(text, kind) of each block of a page, in page order; white space is collapsed.
+
+    If every main element of a page is inside boilerplate, what holds it is a
+    wrapper, or lacks its end: the mark is then undone, but for comments,
+    adverts and links to other texts, and an aside that has its end.
+    """
+    out = _lines(html)
+    if any(kind == MAIN for _, kind in out):
+        return out
+    low = html.lower()
+    if not re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?main\b|articlebody", low):
+        return out
+    kept = _OTHERS if len(re.findall(r"<aside\b", low)) > low.count("</aside") else _OTHERS | {"aside"}
+    again = _lines(html, kept)
+    return again if any(kind == MAIN for _, kind in again) else out
+
+
+def _lines(html: str, kept: frozenset[str] | None = None) -> list[tuple[str, int]]:
+    """``lines`` of one pass, in which a main element undoes marks of ``_LAYOUT``, or all that are not ``kept``."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     skip: list[str] = []  # [name, reason] of the outermost boilerplate element
@@ -149,7 +171,7 @@ def lines(html: str) -> list[tuple[str, int]]:
             heading = 1
         why = _reason(name, attributes, main_depth > 0)
         is_main = why is None and _is_main(name, attributes)
-        if skip and is_main and skip[1] in _LAYOUT:
+        if skip and is_main and (skip[1] in _LAYOUT or kept is not None and skip[1] not in kept):
             flush()
             skip = []
         if skip:

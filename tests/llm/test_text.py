@@ -40,6 +40,21 @@ def test_unclosed_menu_does_not_swallow_the_article():
     assert [t for t, k in html_text.lines("<nav><ul><li>m<article><p>x</p></article>") if k == 2] == ["x"]
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='has-sidebar'>{}</div>", "<div class='content-with-sidebar'>{}</div>", "<div id='layout-no-sidebar'>{}</div>", "<div class='widget-area-on'>{}</div>",
+    "<form action='/'><p>in</p>{}</form>", "<div class='modal'>{}</div>", "<aside><p>s</p>{}", "<button>b{}", "<form><input>{}",
+])
+def test_wrappers_do_not_swallow_the_article(page):
+    assert [t for t, k in html_text.lines(page.format("<article><p>x</p></article>")) if k == 2] == ["x"]
+
+
+def test_articles_of_others_stay_boilerplate():
+    other = "<article><p>o</p></article>"
+    for page in (f"<aside>{other}</aside>", f"<div class='comments-with-faces'>{other}</div>", f"<div class='related'>{other}</div>", f"<div hidden>{other}</div>"):
+        assert not any(k for _, k in html_text.lines(page))
+    assert [t for t, k in html_text.lines(f"<div class='sidebar'>{other}</div><main><p>x</p></main>") if k == 2] == ["x"]
+
+
 def longest(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
