@@ -20,12 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    made only where that setting is absent (tests, local mode).
+    The cluster names it in ``spark.checkpoint.dir``. A folder of our own is
+    made only where that setting is absent and driver and executors are one
+    process; elsewhere executors would write to disks of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -38,6 +42,12 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh`` named and that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = fresh(df.sparkSession, name)
@@ -82,10 +92,19 @@ class Carried:
     def at(self, name: str) -> str:
         return self._index[name.lower()]
 
+    def _values(self) -> list[F.Column]:
+        """What tells rows apart: their values, and which of them are null (hashes pass over nulls)."""
+        hashable = [c for c, t in zip(self.order, self.types) if not re.search("map|variant", t.simpleString())]
+        found = list(dict.fromkeys([*hashable, *(["body"] if self._text is not None else [])]))
+        return [*map(F.col, found), F.concat(F.lit(""), *[F.col(c).isNull().cast("string") for c in found])]
+
     def row_key(self) -> F.Column:
         """A 64-bit key of the row's values; whole repeats of a row share it."""
-        hashable = [c for c, t in zip(self.order, self.types) if not re.search("map|variant", t.simpleString())]
-        return F.xxhash64(*[F.col(c) for c in dict.fromkeys([*hashable, "body"])])
+        return F.xxhash64(*self._values())
+
+    def row_tag(self) -> F.Column:
+        """32 more bits, independent of ``row_key``, for tables in which 64 bits would collide."""
+        return F.hash(*self._values())
 
     def fields(self) -> list[T.StructField]:
         """Of the kept columns, in the order of ``rebuild(batch, self.order)``."""

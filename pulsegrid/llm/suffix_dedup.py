@@ -1,25 +1,29 @@
-"""Exact removal of repeated byte strings by depth-limited radix grouping.
-
-The suffixes of all texts are told apart only through their first ``depth``
-bytes, by passes over hashed digits; a group that holds one suffix is final
-and leaves, and suffixes that are equal in every digit are exactly the
-repeated ``depth``-byte strings.
-
-* Digit 1 is the least hash of ``depth // 6`` bytes within the suffix's
-  ``depth`` bytes. All suffixes of one text that share its place form one
-  range, so this pass moves one row per range (about one per 170 bytes), not
-  one per suffix.
-* Digit 2 is the content of the range with its full depth to the right. Equal
-  ranges are equal in all their suffixes and need no further digit.
-* Digit 3 widens digit 1 to one side by half of what is left of the depth.
-  Suffixes that start far enough before digit 1 take the left side, the others
-  the right, so a range that shares digit 1 but not digit 2 with others splits
-  in two. One representative stands for equal ranges, with weight two.
-* Digits 4 and 5, the first and last half of the ``depth`` bytes, separate the
-  suffixes of parts that still share all digits with others.
-
-Each pass counts with map-side combine; what is counted once returns its own
-text and place (the complement of the repeated), so no hot group is gathered.
+"""Exact removal of repeated byte strings by depth-limited radix passes over suffixes.
+
+A suffix is told apart from others only through its first ``depth`` bytes.
+Passes take its digits in text order, the most significant first; a group that
+holds one suffix is final and leaves, a group that is left after the last pass
+is exactly a repeated ``depth``-byte string.
+
+Ordering every suffix would move a row for each byte, so rows stand for runs of
+neighbouring suffixes for as long as possible:
+
+* Sampling. The least hash of ``digit`` bytes within a suffix's ``depth`` bytes
+  is its anchor. Equal suffixes have equal anchors at equal places, and the
+  suffixes of one text that share an anchor form one run (one row per 130
+  bytes). Runs whose anchor occurs once leave; runs that are equal from their
+  first suffix's start to their last suffix's end become one, of weight two.
+* Pass 1. Runs that share an anchor without being equal are cut, at fixed
+  distances from the anchor, into runs of ``width`` suffixes. What the suffixes
+  of a run have in common, the run's stem, is the most significant digit: all
+  but ``width - 1`` of the ``depth`` bytes.
+* Pass 2. Runs whose stem is shared are spread into suffixes, and the last digit
+  takes what is left of the ``depth`` bytes.
+
+Groups are keyed by hashes of the digits so far: 64 bits where a collision
+only delays a suffix's leaving, 128 bits where it would decide. Each pass counts
+with map-side combine, and what is counted once returns its own text and place
+(the complement of the repeated), so no hot group is gathered.
 """
 
 from __future__ import annotations
@@ -34,23 +38,39 @@ from . import tokens
 from .storage import Carried, cut, lists, pieces, rebuild, utf8
 
 _L, _I = T.LongType(), T.IntegerType()
-_RANGE = T.StructType([*[T.StructField(n, _L) for n in ("a", "e", "left", "right", "key")], *[T.StructField(n, _I) for n in ("low", "mid", "high")]])
-_SUFFIX = T.StructType([T.StructField("d4", _L), T.StructField("d5", _I), T.StructField("weight", _I), T.StructField("key", _L), T.StructField("pos", _I)])
+_ROW = [T.StructField("key", _L), T.StructField("tag", _I)]
+_RUN = T.StructType([T.StructField("anchor", _L), T.StructField("content", _L), *_ROW, *[T.StructField(n, _I) for n in ("low", "high", "at")]])
+_STEM = T.StructType([T.StructField("stem", _L), *_ROW, *[T.StructField(n, _I) for n in ("weight", "low", "high")]])
+_SUFFIX = T.StructType([T.StructField("d", _L), T.StructField("e", _L), T.StructField("weight", _I), *_ROW, T.StructField("pos", _I)])
 
 
-def _ranges(rolling: tokens.Rolling, at: np.ndarray, depth: int, digit: int):
-    """Of each range of starts of a piece: digits 1, 2 and both 3s, text, and its low, mid and high start.
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
 
-    Starts up to mid have the left digit 3, later ones the right.
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def stems(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the run, first and last start, start of the stem) of runs cut at multiples of ``width`` before their anchor.
+
+    A stem starts at such a multiple, also where its run ends before: equal
+    suffixes then have equal stems, whatever is around them.
     """
-    side = (depth - digit) // 2
-    grams = rolling.grams(digit)
-    own, text, low, high = tokens.owned_ranges(grams, at, depth, digit)
-    inner = ((own - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
-    content = tokens.mix(rolling.runs(low, high + depth) ^ tokens.mix(inner + np.uint64(1)))
-    left = rolling.runs(np.maximum(own - side, 0), own + digit)
-    right = rolling.runs(own, np.minimum(own + digit + side, rolling.n))
-    return [x.view(np.int64) for x in (grams[own], content, left, right)], text, [low - at[text], own - side - at[text], high - at[text]]
+    run, step = tokens.spread((anchor - high) // width, (anchor - low) // width)
+    stem = anchor[run] - step * width
+    return run, np.maximum(stem - width + 1, low[run]), np.minimum(stem, high[run]), stem
+
+
+def _by_row(rows: DataFrame, suffix: str, *columns: str) -> DataFrame:
+    """One row per text: ``key_``, ``tag_`` and the lists of ``columns``, each with ``suffix``."""
+    grouped = rows.groupBy(F.col("key").alias(f"key_{suffix}"), F.col("tag").alias(f"tag_{suffix}")).agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return grouped.select(f"key_{suffix}", f"tag_{suffix}", *[F.col(f"found.{c}").alias(f"{suffix}_{c}") for c in columns])
+
+
+def _met(dealt: DataFrame, found: DataFrame, suffix: str, how: str) -> DataFrame:
+    return dealt.join(found, (F.col("key") == F.col(f"key_{suffix}")) & (F.col("tag") == F.col(f"tag_{suffix}")), how)
 
 
 def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400, digit: int | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -65,67 +85,86 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
     replaced.
     """
     digit = digit or depth // 6
-    half = depth // 2
+    width = max(2, depth // 8)
+    stem = depth - width + 1
     carried = Carried(docs, text, keep)
     order = carried.order
-    base = carried.df.withColumn("key", carried.row_key())
+    base = carried.df.withColumns({"key": carried.row_key(), "tag": carried.row_tag()})
 
-    def ranges(batches):
+    def runs(batches):
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
-            keys = batch.column(1).to_numpy()
+            keys, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in pieces(offsets):
                 at = offsets[i : j + 1] - offsets[i]
-                digits, doc, starts = _ranges(tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]]), at, depth, digit)
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, digits), pa.array(keys[i:j][doc]), *[pa.array(x.astype(np.int32)) for x in starts]], names=_RANGE.names)
-
-    found = base.select("body", "key").where(F.octet_length("body") >= depth).mapInArrow(ranges, _RANGE)
-    # first() takes all from one row, any of the equal ranges; the written table fixes which.
-    equal = cut(found.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("left", "right", "key", "low", "mid", "high")]), "ranges")
-    by_first = equal.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
-    weight = F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")
-    lower = F.struct(F.col("left").alias("digit"), F.lit(0).alias("side"), "low", F.least("mid", "high").alias("high"))
-    upper = F.struct(F.col("right").alias("digit"), F.lit(1).alias("side"), F.greatest(F.col("mid") + 1, "low").alias("low"), "high")
-    split = equal.join(by_first.where("kinds > 1").select("a"), "a", "left_semi").select("key", weight, F.explode(F.array(lower, upper)).alias("part"))
-    split = cut(split.select("key", "weight", "part.*").where("low <= high"), "parts")
-    by_third = split.groupBy("digit", "side").agg(F.sum("weight").alias("total"), *[F.min(c).alias(c) for c in ("key", "low", "high")])
-    alone = by_first.union(by_third.select(F.lit(0).alias("a"), "total", F.lit(1).alias("kinds"), "key", "low", "high")).where("total = 1")
-    unique = alone.groupBy(F.col("key").alias("key_unique")).agg(F.collect_list("low").alias("unique_low"), F.collect_list("high").alias("unique_high"))
-    shared = by_third.where("total > 1").select("digit", "side")
-    open_ = split.join(shared, ["digit", "side"], "left_semi").groupBy(F.col("key").alias("key_open")).agg(F.collect_list(F.struct("low", "high", "weight")).alias("open"))
-    open_ = open_.select("key_open", F.col("open.low").alias("open_low"), F.col("open.high").alias("open_high"), F.col("open.weight").alias("open_weight"))
-
-    dealt = base.repartition("key")
-    judged = dealt.join(open_, F.col("key") == F.col("key_open"), "inner").select("body", "key", *carried.columns, "open_low", "open_high", "open_weight")  # all columns: the exchange of ``dealt`` is then the same for both uses
+                rolling = tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]])
+                grams = rolling.grams(digit)
+                own, doc, low, high = tokens.owned_ranges(grams, at, depth, digit)
+                if len(own):
+                    inner = ((own - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
+                    content = tokens.mix(rolling.runs(low, high + depth) ^ tokens.mix(inner + np.uint64(1)))
+                    yield pa.RecordBatch.from_arrays([_signed(grams[own]), _signed(content), pa.array(keys[i:j][doc]), pa.array(tags[i:j][doc]), *[_int(x - at[doc]) for x in (low, high, own)]], names=_RUN.names)
+
+    sampled = base.select("body", "key", "tag").where(F.octet_length("body") >= depth).mapInArrow(runs, _RUN)
+    # first() takes all from one row, any of the equal runs; the written table fixes which.
+    equal = cut(sampled.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _RUN.names[2:]]), "runs")
+    place = [F.min(c).alias(c) for c in ("key", "tag", "low", "high")]  # of groups of one, in which they are of one row
+    always = "total > 0 and key is not null and tag is not null and low >= 0 and high >= 0"  # keeps all columns, and thus one exchange for both uses
+    by_anchor = equal.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *place).where(always)
+    weight = F.when(F.col("n") > 1, 2).otherwise(1).cast("int").alias("weight")
+    shared = equal.join(by_anchor.where("kinds > 1").select("anchor"), "anchor", "left_semi")
+    shared = _by_row(shared.select("key", "tag", weight, "low", "high", "at"), "run", "weight", "low", "high", "at")
+
+    # All columns, although text and key would do: only then is the exchange of ``dealt`` the same for every use.
+    dealt = base.repartition("key", "tag")
+    columns = ["body", "key", "tag", *carried.columns]
+
+    def cut_runs(batches):
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(0))
+            keys, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            (weight, run_at), *found = [lists(batch.column(batch.num_columns - k)) for k in (4, 3, 2, 1)]
+            low, high, anchor = (x.astype(np.int64) for x, _ in found)
+            for i, j in pieces(offsets):
+                rolling = tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]])
+                take = slice(run_at[i], run_at[j])
+                run, first, last, start = stems(low[take], high[take], anchor[take], width)
+                doc = np.repeat(np.arange(i, j), np.diff(run_at[i : j + 1]))[run]
+                start += offsets[doc] - offsets[i]
+                yield pa.RecordBatch.from_arrays([_signed(rolling.runs(start, start + stem)), pa.array(keys[doc]), pa.array(tags[doc]), _int(weight[take][run]), _int(first), _int(last)], names=_STEM.names)
+
+    open_ = _met(dealt, shared, "run", "inner").select(*columns, "run_weight", "run_low", "run_high", "run_at").mapInArrow(cut_runs, _STEM)
+    alone = by_anchor.where("total = 1").select("key", "tag", "low", "high")
+    counted = open_.groupBy("stem").agg(F.sum("weight").alias("total"), *place).where(always)
+    alone = alone.union(counted.where("total = 1").select("key", "tag", "low", "high"))
+    open_ = open_.join(counted.where("total > 1").select("stem"), "stem", "left_semi")
+    spread = _by_row(open_, "open", "low", "high", "weight")
 
     def suffixes(batches):
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
-            keys = batch.column(1).to_numpy()
-            low, low_at = lists(batch.column(batch.num_columns - 3))
-            high, _ = lists(batch.column(batch.num_columns - 2))
-            weight, _ = lists(batch.column(batch.num_columns - 1))
+            keys, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            (low, low_at), (high, _), (weight, _) = (lists(batch.column(batch.num_columns - k)) for k in (3, 2, 1))
             for i, j in pieces(offsets):
-                rolling = tokens.Rolling(tokens.byte_codes()[data[offsets[i] : offsets[j]]])
+                part = data[offsets[i] : offsets[j]]
+                one, other = (tokens.Rolling(codes[part]) for codes in (tokens.byte_codes(), tokens.byte_codes(1)))
                 take = slice(low_at[i], low_at[j])
                 of, pos = tokens.spread(low[take], high[take])
-                doc_of = np.repeat(np.arange(i, j), np.diff(low_at[i : j + 1]))[of]
-                s = pos + offsets[doc_of] - offsets[i]
-                yield pa.RecordBatch.from_arrays([pa.array(rolling.runs(s, s + half).view(np.int64)), pa.array(rolling.runs(s + half, s + depth).astype(np.uint32).view(np.int32)), pa.array(weight[take][of].astype(np.int32)), pa.array(keys[doc_of]), pa.array(pos.astype(np.int32))], names=_SUFFIX.names)
-
-    counted = judged.mapInArrow(suffixes, _SUFFIX).groupBy("d4", "d5").agg(F.sum("weight").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
-    lone = counted.where("n = 1").groupBy(F.col("key").alias("key_lone")).agg(F.collect_list("pos").alias("lone"))
-    result = dealt.join(unique, F.col("key") == F.col("key_unique"), "left").join(lone, F.col("key") == F.col("key_lone"), "left").select("body", "unique_low", "unique_high", "lone", *carried.columns)
+                doc = np.repeat(np.arange(i, j), np.diff(low_at[i : j + 1]))[of]
+                s = pos + offsets[doc] - offsets[i]
+                yield pa.RecordBatch.from_arrays([_signed(one.runs(s, s + depth)), _signed(other.runs(s, s + depth)), _int(weight[take][of]), pa.array(keys[doc]), pa.array(tags[doc]), _int(pos)], names=_SUFFIX.names)
+
+    judged = _met(dealt, spread, "open", "inner").select(*columns, "open_low", "open_high", "open_weight")
+    counted = judged.mapInArrow(suffixes, _SUFFIX).groupBy("d", "e").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("key", "tag", "pos")])
+    lone = _by_row(counted.where("n = 1"), "lone", "pos")
+    result = _met(_met(dealt, _by_row(alone, "alone", "low", "high"), "alone", "left"), lone, "lone", "left").select("body", "alone_low", "alone_high", "lone_pos", *carried.columns)
     span = T.ArrayType(T.StructType([T.StructField("start", _I), T.StructField("end", _I)]))
     schema = T.StructType([*carried.fields(), T.StructField("n_bytes", _L), T.StructField("n_removed", _L), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
     def apply(batches):
         for batch in batches:
             data, offsets, _ = utf8(batch.column(0))
-            low, low_at = lists(batch.column(1))
-            high, _ = lists(batch.column(2))
-            lone, lone_at = lists(batch.column(3))
+            (low, low_at), (high, _), (lone, lone_at) = (lists(batch.column(k)) for k in (1, 2, 3))
             n_removed, spans, kept = [], [], []
             for d in range(batch.num_rows):
                 n = int(offsets[d + 1] - offsets[d])

@@ -29,9 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def byte_codes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+@lru_cache(2)
+def byte_codes(family: int = 0) -> np.ndarray:
+    """A code for each byte; hashes over the codes of two families are independent."""
+    return mix(np.arange(1 + 256 * family, 257 + 256 * family, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 @lru_cache(1)
