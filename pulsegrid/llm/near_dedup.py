@@ -1,29 +1,27 @@
 """SimHash near-dedup over a forest of vantage-point trees.
 
-Fingerprints that differ in at most ``d`` of 64 bits are linked. The bits are
-split into ``d + 1`` bands, and the bits outside a band again: a linked pair
-agrees on all bits of some band and, among the rest, of some second band. Each
-pair of bands makes one tree of the forest. Its metric is the Hamming distance
-under the band's mask, which is never more than the whole distance, so the
-triangle bound holds: two fingerprints within ``r`` of each other are at
-distances from a vantage point that differ by ``r`` at most. For the band on
-which a pair agrees, r is 0, so every branch but the one at the query's own
-distance is pruned and nothing crosses a boundary. A shard is the path of
-distances from a tree's vantage points.
-
-Within a shard, fingerprints are ordered by whole Hamming distance from a
-vantage point; blocks are compared only where distances differ by ``d`` or
-less, which includes the shells over a boundary. Links inside a shard leave it
-as a spanning forest, never as all pairs of a group, and connected components
-join them over shards.
-
-A single tree over all 64 bits would not prune: unrelated fingerprints lie
-about 32 +- 4 bits from any vantage point, so with a radius of 3 more than half
-of all queries take both branches at every level.
+Fingerprints that differ in at most ``d`` of 64 bits are linked. The forest has
+a tree for each pair of bands: the bits are split into ``d + 1`` bands, and the
+bits outside a band again, and a linked pair agrees on all bits of some band and,
+among the rest, of some second band. The root of a tree has a branch for each
+value of its bands; in one tree over all 64 bits nothing could be pruned, since
+unrelated fingerprints lie about 32 +- 4 bits from any vantage point and a
+radius of 3 then takes both sides of nearly every split.
+
+Below the root a branch of up to ``leaf`` fingerprints is a leaf, and its pairs
+are compared. A larger one is split around a vantage point, the least of its
+fingerprints, into shells of equal Hamming distance, and shells into blocks of
+about ``leaf``. By the triangle bound only shells whose distances differ by
+``d`` or less can hold a pair, so each block is compared with the blocks of its
+own and of the overlapping shells, every such pair of blocks as a group of its
+own: tasks stay balanced however large a branch is. Links leave a group as a
+spanning forest, never as all its pairs, and connected components join them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,52 +30,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .storage import Carried, cut, joined, rebuild, utf8
+from .shingles import lower_ascii, words
+from .storage import Carried, cut, joined, lists, rebuild
 
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _U = np.uint64
+SPACES = "[\\x20\\x09-\\x0D]+"
+_BYTES = _U(0x0101010101010101)
 
 
-def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
-    """The hash of each run of ``shingle`` words; of all words, where there are fewer."""
-    words = text.lower().split()
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)] if words else [], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+def shingled(df: DataFrame, text: str, shingle: int, out: str) -> DataFrame:
+    """``df`` with ``out``: XXH64 (seed 42) of each run of ``shingle`` words; of all words, where there are fewer.
 
+    Words are runs of anything but x20 and x09-x0D, with A-Z lower-cased,
+    joined by one space. A text without words has no hash.
+    """
+    df = df.withColumn("sh_words", words(lower_ascii(text), SPACES))
+    n = F.size("sh_words")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("sh_words", i, shingle), " ")))
+    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join("sh_words", " ")))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, F.when(n > shingle, grams).otherwise(whole)).drop("sh_words")
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text, signed; no words: zero."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view(np.int64)[0])
+
+def simhashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The signed fingerprint of each run of ``hashes`` between two offsets: bits set in over half; of none, zero.
+
+    Bits are counted eight to a word, in chunks of at most 255 hashes.
+    """
+    sizes = np.diff(at)
+    fps = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return fps
+    hashes, chunks = hashes.view(_U), -(-sizes[some] // 255)
+    first = np.cumsum(chunks) - chunks
+    starts = np.repeat(at[:-1][some] - first * 255, chunks) + 255 * np.arange(chunks.sum())
+    bits = np.zeros((len(some), 8, 8), bool)
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> _U(k)) & _BYTES, starts).view(np.uint8).reshape(-1, 8)
+        bits[:, :, k] = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > sizes[some, None]
+    fps[some] = np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view(np.int64)[:, 0]
+    return fps
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``fp`` (long), the SimHash of whole texts."""
+    """The columns ``keep`` of ``docs`` with ``fp`` (long), the SimHash of whole texts; no words: zero."""
     carried = Carried(docs, text, keep)
     order = carried.order
     schema = T.StructType([*carried.fields(), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            data, offsets, _ = utf8(batch.column(batch.schema.get_field_index("body")))
-            raw = data.tobytes()
-            fps = [simhash(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*rebuild(batch, order), pa.array(fps, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*rebuild(batch, order), pa.array(simhashes(*lists(batch.column(batch.num_columns - 1))))], names=schema.names)
 
-    return carried.restore(carried.df.mapInArrow(run, schema), "fp", mapped=True)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    hashed = shingled(carried.df, "body", shingle, "hashes")
+    return carried.restore(hashed.select(*dict.fromkeys(order), "hashes").mapInArrow(run, schema), "fp", mapped=True)
 
 
 def _bands(bits: list[int], n: int) -> list[list[int]]:
@@ -85,24 +92,13 @@ def _bands(bits: list[int], n: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(cut_at, cut_at[1:])]
 
 
-def shard_keys(max_distance: int = 3, vantage: int = 6) -> list[F.Column]:
-    """For each tree, the path of distances of ``fp`` from its vantage points."""
-    rng = np.random.default_rng(64)
+def branches(max_distance: int = 3) -> list[F.Column]:
+    """For each tree, the branch of its root that ``fp`` is in."""
     keys = []
-    for tree, band in enumerate(_bands(list(range(64)), max_distance + 1)):
-        rest = [b for b in range(64) if b not in band]
-        for second, other in enumerate(_bands(rest, max_distance + 1)):
-            paths = []
-            for bits in (band, other):
-                mask = sum(1 << b for b in bits)
-                chosen = rng.permutation(len(bits))
-                path = F.lit(0).cast("long")
-                for i in range(min(vantage, 10)):  # a distance takes six bits of the path
-                    point = int(rng.integers(0, 1 << 63)) & mask ^ (1 << bits[int(chosen[i % len(bits)])])
-                    distance = F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(point))))
-                    path = F.shiftleft(path, 6).bitwiseOR(distance.cast("long"))
-                paths.append(path)
-            keys.append(F.xxhash64(F.lit(tree * (max_distance + 1) + second), *paths))
+    for band in _bands(list(range(64)), max_distance + 1):
+        for other in _bands([b for b in range(64) if b not in band], max_distance + 1):
+            mask = sum(1 << b for b in [*band, *other])
+            keys.append(F.xxhash64(F.lit(len(keys)), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
     return keys
 
 
@@ -113,73 +109,145 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def shard_forest(fps: np.ndarray, max_distance: int, block: int = 1024) -> np.ndarray:
-    """A spanning forest (pairs of indices) of the links inside one shard."""
+def spanning(fps: np.ndarray, max_distance: int, split: int | None = None, block: int = 1024) -> np.ndarray:
+    """A spanning forest (pairs of indices) of the links of a group; with ``split``, of those from below it to above.
+
+    Blocks meet only where distances from the first fingerprint differ by ``max_distance`` or less.
+    """
     distance = np.bitwise_count(fps ^ fps[0]).astype(np.int64)
-    order = np.argsort(distance, kind="stable")
-    fps, distance = fps[order], distance[order]
+    sides = [np.arange(len(fps))] * 2 if split is None else [np.arange(split), np.arange(split, len(fps))]
+    left, right = (side[np.argsort(distance[side], kind="stable")] for side in sides)
     root, out = np.arange(len(fps)), []
-    for i in range(0, len(fps), block):
-        part = fps[i : i + block]
-        end = int(np.searchsorted(distance, distance[i + len(part) - 1] + max_distance, "right"))
-        for j in range(i, end, block):
-            other = fps[j : min(j + block, end)]
-            x, y = np.nonzero(np.bitwise_count(part[:, None] ^ other[None, :]) <= max_distance)
-            x, y = x + i, y + j
-            keep = x < y
-            x, y = x[keep], y[keep]
+    for i in range(0, len(left), block):
+        x = left[i : i + block]
+        low, high = np.searchsorted(distance[right], [distance[x[0]] - max_distance, distance[x[-1]] + max_distance + 1])
+        for j in range(i if split is None else int(low), int(high), block):
+            y = right[j : min(j + block, int(high))]
+            near_x, near_y = np.nonzero(np.bitwise_count(fps[x][:, None] ^ fps[y][None, :]) <= max_distance)
+            near_x, near_y = x[near_x], y[near_y]
             for _ in range(3):  # pairs that are joined already need no visit
                 root = root[root]
-            keep = root[x] != root[y]
-            for a, b in zip(x[keep].tolist(), y[keep].tolist()):
+            keep = root[near_x] != root[near_y]
+            for a, b in zip(near_x[keep].tolist(), near_y[keep].tolist()):
                 ra, rb = _find(root, a), _find(root, b)
                 if ra != rb:
                     root[max(ra, rb)] = min(ra, rb)
                     out.append((a, b))
-    return order[np.array(out, np.int64).reshape(-1, 2)]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(distinct: DataFrame, max_distance: int = 3, small: int = 24) -> DataFrame:
-    """``a, b``: links between distinct fingerprints ``fp`` that connect all linked ones."""
-    rows = distinct.select("fp", F.explode(F.array(*shard_keys(max_distance))).alias("shard"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "fp")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, search: Callable, most: int | None = None, beyond: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """``search`` of the columns of whole groups; rows are sorted by the first ``keys`` columns.
 
-    def search(shard: np.ndarray, fp: np.ndarray):
-        edge = np.flatnonzero(np.diff(shard)) + 1
-        begin, end = np.concatenate([[0], edge]), np.append(edge, len(shard))
+    The last group of a batch may go on and waits for the next. A group that
+    has waited until it has more than ``most`` rows goes through ``beyond``
+    instead, in parts.
+    """
+    rest: list[list[np.ndarray]] = []
+    last, over = None, False
+
+    def flush(*more: list[np.ndarray]):
+        nonlocal rest
+        rows, rest = [*rest, *more], []
+        return (beyond if over else search)(*map(np.concatenate, zip(*rows)))
+
+    for batch in batches:
+        now = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        change = np.zeros(len(now[0]) - 1, bool)
+        for c in now[:keys]:
+            change |= c[1:] != c[:-1]
+        edge = np.flatnonzero(change) + 1
+        if last != tuple(c[0] for c in now[:keys]):
+            if rest:
+                yield flush()
+            over = False
+        if over and len(edge):
+            yield flush([c[: edge[0]] for c in now])
+            now, edge, over = [c[edge[0] :] for c in now], edge[1:] - edge[0], False
+        if len(edge):
+            yield flush([c[: edge[-1]] for c in now])
+            now = [c[edge[-1] :] for c in now]
+        rest.append(now)
+        last = tuple(c[-1] for c in now[:keys])
+        if most is not None and sum(len(r[0]) for r in rest) > most:
+            over = True
+        if over:
+            yield flush()
+    if rest:
+        yield flush()
+
+
+def links(distinct: DataFrame, max_distance: int = 3, leaf: int = 4096, small: int = 24) -> DataFrame:
+    """``a, b``: links between distinct fingerprints ``fp`` that connect all linked ones; none of an empty table."""
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.repartition(partitions, "fp").select(F.explode(F.array(*branches(max_distance))).alias("branch"), "fp")
+    rows = rows.repartition("branch").sortWithinPartitions("branch", "fp")
+    schema = T.StructType([*_EDGE.fields, T.StructField("open", T.BooleanType())])
+
+    def paired(fp: np.ndarray, found: np.ndarray) -> list[np.ndarray]:
+        x, y = fp[found[:, 0]].view(np.int64), fp[found[:, 1]].view(np.int64)
+        return [np.minimum(x, y), np.maximum(x, y)]
+
+    def search(branch: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        fp = fp.view(_U)
+        edge = np.flatnonzero(np.diff(branch)) + 1
+        begin, end = np.concatenate([[0], edge]), np.append(edge, len(branch))
         sizes = end - begin
-        large = np.flatnonzero(sizes > small)
-        left = np.repeat(end, sizes) - np.arange(len(shard)) - 1
-        left[np.repeat(sizes > small, sizes)] = 0
-        pairs = []
-        at = np.flatnonzero(left >= 1)
+        of = np.repeat(sizes, sizes)
+        left = np.where(of > small, 0, np.repeat(end, sizes) - np.arange(len(branch)) - 1)
+        pairs, at = [np.zeros((0, 2), np.int64)], np.flatnonzero(left >= 1)
         for step in range(1, small):
             at = at[left[at] >= step]
             if not len(at):
                 break
             near = np.bitwise_count(fp[at] ^ fp[at + step]) <= max_distance
             pairs.append(np.stack([at[near], at[near] + step], 1))
-        for k in large:
-            pairs.append(shard_forest(fp[begin[k] : end[k]], max_distance) + begin[k])
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        x, y = fp[found[:, 0]].view(np.int64), fp[found[:, 1]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    def run(batches):
-        rest_shard, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            shard = np.concatenate([rest_shard, batch.column(1).to_numpy()])
-            fp = np.concatenate([rest_fp, batch.column(0).to_numpy().view(np.uint64)])
-            if not len(shard):
-                continue
-            whole = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on
-            if whole:
-                yield search(shard[:whole], fp[:whole])
-            rest_shard, rest_fp = shard[whole:], fp[whole:]
-        if len(rest_shard):
-            yield search(rest_shard, rest_fp)
-
-    return rows.mapInArrow(run, _EDGE).distinct()
+        for k in np.flatnonzero((sizes > small) & (sizes <= leaf)):
+            pairs.append(spanning(fp[begin[k] : end[k]], max_distance) + begin[k])
+        a, b = paired(fp, np.concatenate(pairs))
+        large = of > leaf  # these go on as they are
+        columns = [np.concatenate([a, branch[large]]), np.concatenate([b, fp[large].view(np.int64)]), np.arange(len(a) + large.sum()) >= len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
+
+    def beyond(branch: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(branch), pa.array(fp), pa.array(np.ones(len(fp), bool))], names=schema.names)
+
+    met = cut(rows.mapInArrow(lambda batches: _groups(batches, 1, search, leaf, beyond), schema), "branches")
+    found = met.where("not open").select("a", "b")
+    large = met.where("open").select(F.col("a").alias("branch"), F.col("b").alias("fp"))
+    if not large.isEmpty():
+        found = found.union(_between_shells(large, max_distance, leaf, paired))
+    return found.distinct()
+
+
+def _between_shells(large: DataFrame, max_distance: int, leaf: int, paired: Callable) -> DataFrame:
+    """Links inside branches of more than ``leaf``: ``branch, fp``, by pairs of blocks of overlapping shells."""
+    vantage = cut(large.groupBy("branch").agg(F.min("fp").alias("vantage")), "vantage")
+    shell = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("int")
+    rows = cut(joined(large, vantage, ["branch"], "inner").select("branch", shell.alias("shell"), "fp"), "shells")
+    blocks = rows.groupBy("branch", "shell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks"))
+    # A block is shell * 2^24 + its number; a branch lists its blocks.
+    blocks = blocks.select("branch", "shell", "blocks", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.col("shell") * (1 << 24) + i)).alias("block"))
+    listed = cut(blocks.groupBy("branch").agg(F.collect_list("block").alias("all"), F.map_from_entries(F.collect_set(F.struct("shell", "blocks"))).alias("blocks")), "blocks")
+    own = F.col("shell") * (1 << 24) + F.pmod(F.xxhash64("fp"), F.element_at("blocks", F.col("shell"))).cast("int")
+    near = F.filter("all", lambda b: F.abs(F.floor(b / (1 << 24)) - F.col("shell")) <= max_distance)
+    met = rows.join(listed, "branch").select("branch", own.alias("own"), F.explode(near).alias("other"), "fp")
+    met = met.select("branch", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fp")
+    met = met.repartition("branch", "x", "y").sortWithinPartitions("branch", "x", "y", "side", "fp")
+
+    def search(branch: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        fp = fp.view(_U)
+        edge = np.flatnonzero((branch[1:] != branch[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        pairs = [np.zeros((0, 2), np.int64)]
+        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
+            split = None if x[i] == y[i] else int(np.searchsorted(side[i:j], 1))
+            if split is None or 0 < split < j - i:
+                pairs.append(spanning(fp[i:j], max_distance, split) + i)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in paired(fp, np.concatenate(pairs))], names=["a", "b"])
+
+    return met.mapInArrow(lambda batches: _groups(batches, 3, search), _EDGE)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 3, max_distance: int = 3) -> DataFrame:
@@ -218,10 +286,9 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
-    data, offsets, _ = utf8(texts)
-    raw = data.tobytes()
-    return [np.unique(shingle_hashes(raw[a:b], shingle)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+def _sets(hashes: pa.Array) -> list[np.ndarray]:
+    values, at = lists(hashes)
+    return [np.unique(values[a:b].view(_U)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _marked(rows: DataFrame, shingle: int) -> DataFrame:
@@ -230,12 +297,12 @@ def _marked(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = _sets(batch.column(2), shingle)
+            sets = _sets(batch.column(2))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), bands], names=schema.names)
 
-    return rows.select("doc_id", "key", "body").mapInArrow(run, schema)
+    return shingled(rows, "body", shingle, "hashes").select("doc_id", "key", "hashes").mapInArrow(run, schema)
 
 
 def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
@@ -244,10 +311,10 @@ def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [s.view(np.int64) for s in _sets(batch.column(1), shingle)]
+            found = [s.view(np.int64) for s in _sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return rows.select("node", "body").mapInArrow(run, schema)
+    return shingled(rows, "body", shingle, "hashes").select("node", "hashes").mapInArrow(run, schema)
 
 
 def _candidates(rows: DataFrame, wide: int, small: int = 9) -> DataFrame:
@@ -274,21 +341,8 @@ def _candidates(rows: DataFrame, wide: int, small: int = 9) -> DataFrame:
         x, y = node[at], node[to]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((others > most)[at])], names=schema.names)
 
-    def run(batches):
-        rest = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-            if not len(now[0]):
-                continue
-            whole = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last shard may go on
-            if whole:
-                yield search(*[c[:whole] for c in now])
-            rest = [c[whole:] for c in now]
-        if len(rest[0]):
-            yield search(*rest)
-
     ordered = rows.select("shard", "component", "node").repartition("shard").sortWithinPartitions("shard", "component", "node")
-    return ordered.mapInArrow(run, schema).groupBy("a", "b").agg(F.max("more").alias("more"))
+    return ordered.mapInArrow(lambda batches: _groups(batches, 1, search), schema).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def similar(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -86,6 +88,46 @@ def test_every_link_within_the_distance(spark):
     assert {f: got.get(f, f) for f in signed} == expected
 
 
+def test_large_branches_are_split_into_shells(spark):
+    """One branch of many near copies, blocks far smaller than it: every link is found, whatever block it crosses."""
+    rng = random.Random(6)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < 900:
+        f = centre
+        for b in rng.sample(range(30, 64), rng.randrange(2, 9)):
+            f ^= 1 << b
+        fps.add(f)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    expected = {f: c for f, _, c in brute_components([(f, f % (1 << 64)) for f in signed])}
+    for leaf in (16, 100, 5000):
+        got = {r.node: r.component for r in components(near_dedup.links(df, leaf=leaf, small=8)).collect()}
+        assert {f: got.get(f, f) for f in signed} == expected
+    assert near_dedup.links(df.limit(0)).count() == 0
+
+
+def test_groups_across_batches():
+    """Groups are whole however batches are cut; those beyond the bound come in parts, all rows once."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 12, 60)
+    key, value = np.repeat(np.arange(60), sizes), np.arange(sizes.sum())
+    for _ in range(20):
+        at = [0, *sorted(rng.choice(np.arange(1, len(key)), 15, replace=False).tolist()), len(key)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(value[a:b])], names=["k", "v"]) for a, b in zip(at, at[1:])]
+        seen = []
+        for most in (None, 7):
+            whole, parts = [], []
+            for k, v, large in near_dedup._groups(iter(batches), 1, lambda k, v: (k, v, False), most, lambda k, v: (k, v, True)):
+                (parts if large else whole).append((k, v))
+                assert large is False or len({*k.tolist()}) == 1
+            k = [set(k.tolist()) for k, _ in whole]
+            assert sum(map(len, k)) == len(set().union(*k)) if k else True
+            assert not set().union(*k) & {x for p, _ in parts for x in p.tolist()}
+            assert sorted(x for _, v in [*whole, *parts] for x in v.tolist()) == value.tolist()
+            seen.append(len(parts))
+        assert seen[0] == 0
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
