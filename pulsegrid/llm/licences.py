@@ -1,18 +1,22 @@
 """Licence scans by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Passages of a text (the whole text, its blocks between blank lines, and its
-lines) and licence templates are normalised to words; their likeness is twice
-the shared bigrams over all bigrams of both. A Dice of ``least`` bounds the
-sizes: a passage with n bigrams can match only templates with n * least / (2 -
-least) to n * (2 - least) / least bigrams, which prunes the candidate templates
-of each passage. Before that, texts and passages go that have none of a few
-telltale words; a match cannot do without all of them, since they touch more of
-a template's bigrams than a match can lack.
+Texts and licence templates are normalised to words. A passage is any run of
+words of a text, wherever lines and blocks end; its likeness to a template is
+twice the shared bigrams over all bigrams of both, repeats counted. A Dice of
+``least`` bounds the sizes: a template of n bigrams is matched only by passages
+of n * least / (2 - least) to n * (2 - least) / least bigrams, and only if the
+whole text has the lesser number of its bigrams, which prunes nearly all
+candidate templates. Of those that are left, passages that begin and end with
+a shared bigram are scored; any other passage is no better than the one inside
+it. Before that, texts go that have none of a few telltale words; a match
+cannot do without all of them, since they touch more of a template's bigrams
+than a match can lack.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from operator import or_
 
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import lower_ascii, words
-from .storage import Carried
+from .storage import Carried, cut, joined
 
 # Texts of public licences and of usual grants. A template is (licence, text).
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -60,7 +64,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", _MPL),
 )
 
-_BLOCK = "\\n[\\x20\\x09-\\x0D]*\\n"
 #: Letters, digits and all signs beyond ASCII make words; A-Z are lower-cased.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -70,38 +73,36 @@ def normal_words(text: str) -> list[str]:
     return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
 
 
-def template_bigrams(text: str) -> list[str]:
-    """The distinct bigrams of a template, sorted."""
+def template_bigrams(text: str) -> Counter[str]:
+    """How often a template has each pair of neighbouring words."""
     tokens = normal_words(text)
-    return sorted({f"{a} {b}" for a, b in zip(tokens, tokens[1:])})
+    return Counter(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))
 
 
 def bigrams(tokens: str | Column) -> Column:
-    """The distinct pairs of neighbouring words of an array."""
+    """The pairs of neighbouring words of an array, by place."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def telltales(of: tuple[tuple[str, str], ...], least: float) -> list[str]:
     """Words of which any passage has one that reaches ``least`` with a template.
 
-    A match shares over ``least / (2 - least)`` of a template's bigrams. Words
-    are taken, those that touch most bigrams first and short ones last, until
-    they touch more than a match can lack.
+    A match shares at least ``least / (2 - least)`` of a template's bigrams.
+    Words are taken, those that touch most bigrams first and short ones last,
+    until they touch more than a match can lack.
     """
     chosen: set[str] = set()
-    for grams in (template_bigrams(text) for _, text in of):
-        open_ = {tuple(g.split(" ")) for g in grams}
-        lacking = len(open_) * (1 - least / (2 - least))
-        open_, touched = {g for g in open_ if not chosen & {*g}}, sum(bool(chosen & {*g}) for g in open_)
-        while touched <= lacking and open_:
+    for counts in (template_bigrams(text) for _, text in of):
+        lacking = sum(counts.values()) * (1 - least / (2 - least))
+        pairs = {(*g.split(" "),): n for g, n in counts.items()}
+        open_ = {g: n for g, n in pairs.items() if not chosen & {*g}}
+        while open_ and sum(pairs.values()) - sum(open_.values()) <= lacking:
             tokens = {w for g in open_ for w in g}
-            word = max(sorted(tokens), key=lambda w: (len(w) >= 6, len(w) >= 3, sum(w in g for g in open_)))
+            word = max(sorted(tokens), key=lambda w: (len(w) >= 6, len(w) >= 3, sum(n for g, n in open_.items() if w in g)))
             chosen.add(word)
-            touched += sum(word in g for g in open_)
-            open_ = {g for g in open_ if word not in g}
+            open_ = {g: n for g, n in open_.items() if word not in g}
     return sorted(chosen)
 
 
@@ -110,27 +111,44 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, lea
 
     ``licences`` holds a struct (licence, dice) for each licence that a passage
     reaches ``least`` with, best first, then by name; ``licence`` and ``dice``
-    are the first of them or null. Every passage of the whole text is
-    compared. Null and empty texts and texts of one word have no bigrams and
-    no licence. Columns named like a new one are replaced.
+    are the first of them or null. Every passage of the whole text counts, of
+    any length and place. Null and empty texts and texts of one word have no
+    bigrams and no licence; rows that repeat a row are judged alike. Columns
+    named like a new one are replaced.
     """
-    known = [(name, grams) for name, grams in ((name, template_bigrams(t)) for name, t in of) if grams]
+    known = [(i, name, text, sum(template_bigrams(text).values())) for i, (name, text) in enumerate(of)]
+    known = [t for t in known if t[3]]
     if not 0 < least <= 1 or not known:
         raise ValueError("least must be in (0, 1], and some template must have bigrams")
     carried = Carried(docs, text, keep)
     base = carried.df.withColumn("key", carried.row_key())
-    told = lambda c: reduce(or_, [F.contains(F.lower(c), F.lit(w)) for w in telltales(of, least)])
-    parts = F.array_union(F.split("body", _BLOCK), F.split("body", "[\n\r]+"))
-    # explode_outer: for explode, Spark would infer a filter that builds the arrays a second time.
-    passages = base.where(told("body")).select("key", F.explode_outer(F.array_union(F.array("body"), parts)).alias("passage")).where(told("passage"))
-    passages = passages.withColumn("words", words(lower_ascii("passage"), SEPARATORS)).select("key", bigrams("words").alias("own"))
-    rows = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in known])
-    n = F.size("own")
-    fits = lambda t: (n * least <= t["n"] * (2 - least)) & (t["n"] * least <= n * (2 - least))
-    pairs = passages.select("key", "own", F.explode_outer(F.filter(rows, fits)).alias("t")).where("t is not null")
-    shared = F.size(F.array_intersect("own", "t.grams")).cast("double")
-    found = pairs.select("key", "t.licence", (2.0 * shared / (n + F.col("t.n"))).alias("dice")).where(F.col("dice") >= least)
-    best = found.groupBy("key", "licence").agg(F.max("dice").alias("dice"))
+    told = reduce(or_, [F.contains(F.lower("body"), F.lit(w)) for w in telltales(of, least)])
+    templates = docs.sparkSession.createDataFrame(known, "t int, licence string, body string, n int")
+    grams = templates.select("t", "n", F.explode(bigrams(words(lower_ascii("body"), SEPARATORS))).alias("gram"))
+    grams = cut(grams.groupBy("t", "n", "gram").agg(F.count(F.lit(1)).cast("int").alias("c")), "templates")
+    spaced = base.where(told).select("key", words(lower_ascii("body"), SEPARATORS).alias("words"))
+    # posexplode_outer: for posexplode, Spark would infer a filter that builds the arrays a second time.
+    placed = spaced.select("key", F.posexplode_outer(bigrams("words")).alias("pos", "gram"))
+    hits = joined(placed, grams, ["gram"], "inner").groupBy("key", "t", "n").agg(F.array_sort(F.collect_set(F.struct("gram", "pos", "c"))).alias("hits"))
+    lower, upper = F.ceil(F.col("n") * least / (2 - least)), F.floor(F.col("n") * (2 - least) / least).cast("int")
+    hits = hits.where(F.size("hits") >= lower)
+    # A template has a bigram c times: of more in a passage, c count. So a hit counts from the start after the c-th such hit before it.
+    last = lambda h, i: F.get(F.col("hits"), i - h["c"])
+    after = lambda h, i: F.when(last(h, i)["gram"] == h["gram"], last(h, i)["pos"] + 1).otherwise(0)
+    hits = hits.withColumn("hits", F.array_sort(F.transform("hits", lambda h, i: F.struct(h["pos"].alias("pos"), after(h, i).alias("after")))))
+    hits = hits.where(F.size(F.filter("hits", lambda h: h["after"] == 0)) >= lower)
+
+    def best_from(start: Column, i: Column) -> Column:
+        """The best Dice of the passages that begin at a hit."""
+        def longer(seen: Column, h: Column) -> Column:
+            count = seen["count"] + F.when((h["after"] <= start["pos"]) & (h["pos"] < start["pos"] + upper), 1).otherwise(0)
+            dice = 2.0 * count.cast("double") / (h["pos"] - start["pos"] + 1 + F.col("n")).cast("double")
+            return F.struct(count.alias("count"), F.greatest(seen["dice"], dice).alias("dice"))
+
+        return F.aggregate(F.slice("hits", i + 1, upper), F.struct(F.lit(0).alias("count"), F.lit(0.0).alias("dice")), longer, lambda seen: seen["dice"])
+
+    found = hits.select("key", "t", F.array_max(F.transform("hits", best_from)).alias("dice")).where(F.col("dice") >= least)
+    best = found.join(F.broadcast(templates.select("t", "licence")), "t").groupBy("key", "licence").agg(F.max("dice").alias("dice"))  # one row per template
     listed = best.groupBy(F.col("key").alias("found_key")).agg(F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("less"), "licence"))).alias("ranked"))
     listed = listed.select("found_key", F.transform("ranked", lambda r: F.struct(r["licence"].alias("licence"), (-r["less"]).alias("dice"))).alias("licences"))
     out = base.join(listed, F.col("key") == F.col("found_key"), "left")

@@ -159,17 +159,18 @@ FROM lowered LEFT JOIN covered USING (row) LEFT JOIN listed USING (row)
 """
 
 _LICENCES = r"""
-WITH templates(licence, grams) AS (VALUES {templates}),
-docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
-passages AS (SELECT row, text AS p FROM docs WHERE text IS NOT NULL
-  UNION SELECT row, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) FROM docs UNION SELECT row, unnest(string_split_regex(text, '[\n\r]+')) FROM docs),
-worded AS (SELECT row, regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM passages),
-grams AS (SELECT row, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM worded WHERE len(w) > 1),
-scored AS (SELECT row, licence, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM grams JOIN templates
-  ON len(own) * 0.8::DOUBLE <= len(grams) * 1.2::DOUBLE AND len(grams) * 0.8::DOUBLE <= len(own) * 1.2::DOUBLE),
-best AS (SELECT row, licence, max(dice) AS dice FROM scored WHERE dice >= 0.8::DOUBLE GROUP BY row, licence),
+WITH templates(t, licence, n, gram, c) AS (VALUES {templates}),
+docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT row, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM docs),
+hits AS (SELECT row, t, n, gram, c, pos, row_number() OVER (PARTITION BY row, t, gram ORDER BY pos) AS k FROM grams JOIN templates USING (gram)),
+capped AS (SELECT h.row, h.t, h.n, h.pos, coalesce(b.pos, 0) AS before FROM hits h LEFT JOIN hits b ON b.row = h.row AND b.t = h.t AND b.gram = h.gram AND b.k = h.k - h.c),
+whole AS (SELECT row, t FROM capped WHERE before = 0 GROUP BY row, t, n HAVING count(*) * 1.2::DOUBLE >= n * 0.8::DOUBLE),
+open AS (SELECT capped.* FROM capped JOIN whole USING (row, t)),
+passages AS (SELECT a.row, a.t, 2.0::DOUBLE * row_number() OVER (PARTITION BY a.row, a.t, a.pos ORDER BY b.pos) / CAST(b.pos - a.pos + 1 + a.n AS DOUBLE) AS dice
+  FROM open a JOIN open b ON a.row = b.row AND a.t = b.t AND b.pos >= a.pos AND b.pos < a.pos + floor(a.n * 1.5::DOUBLE) AND b.before < a.pos),
+best AS (SELECT row, licence, max(dice) AS dice FROM passages JOIN (SELECT DISTINCT t, licence FROM templates) USING (t) WHERE dice >= 0.8::DOUBLE GROUP BY row, licence),
 listed AS (SELECT row, count(*) AS n, first(licence ORDER BY dice DESC, licence) AS licence, max(dice) AS dice, string_agg(licence, ',' ORDER BY dice DESC, licence) AS licences FROM best GROUP BY row)
 SELECT doc_id, licence, dice, coalesce(n, 0) AS n_licences, coalesce(licences, '') AS licences FROM docs LEFT JOIN listed USING (row)
-""".replace("{templates}", ", ".join(f"('{name}', {licences.template_bigrams(text)!r})" for name, text in licences.TEMPLATES))
+""".replace("{templates}", ", ".join(f"({i}, '{name}', {grams.total()}, '{g}', {c})" for i, (name, grams) in enumerate((n, licences.template_bigrams(t)) for n, t in licences.TEMPLATES) for g, c in grams.items()))
 
 ORACLES = {"op3_licences": _LICENCES, "op8_decontaminate": _CONTAMINATED, "op6_suffix_dedup": _REPEATED_BYTES, "op5_substring_dedup": _REPEATED_WORDS, "op9_source_mix": _MIX}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, fingerprint, html_text, licences
 
@@ -85,21 +86,24 @@ def test_pages_meet_their_neighbours(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def dice(a, b):
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
-
-
 def brute_licences(text, least=0.8):
-    import re
-
+    """Every passage against every template, by the definition."""
     best = {}
-    parts = {text, *re.split("\n[ \t\n\x0b\x0c\r]*\n", text), *re.split("[\n\r]+", text)} if text else set()
-    for part in parts:
-        own = set(licences.template_bigrams(part))
-        for name, template in licences.TEMPLATES:
-            d = dice(own, set(licences.template_bigrams(template)))
-            if d >= least and own:
-                best[name] = max(d, best.get(name, 0))
+    tokens = licences.normal_words(text or "")
+    own = [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
+    for name, template in licences.TEMPLATES:
+        wanted = licences.template_bigrams(template)
+        n = wanted.total()
+        starts = [i for i, g in enumerate(own) if g in wanted]
+        for i in starts:
+            left, shared = dict(wanted), 0
+            for j in range(i, min(i + int(n * (2 - least) / least), len(own))):
+                if left.get(own[j], 0):
+                    left[own[j]] -= 1
+                    shared += 1
+                d = 2 * shared / (j - i + 1 + n)
+                if d >= least:
+                    best[name] = max(d, best.get(name, 0))
     return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
 
@@ -112,14 +116,34 @@ def test_licences(spark, awkward):
         for share in (0.05, 0.1, 0.2):
             texts.append(" ".join(w if rng.random() > share else "changed" for w in words))
         texts.append(f"{prose(rng, 9)} {template}")
+    texts += ["Released under the MIT License.\n" * 300, licences._GPL * 5]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: [(x.licence, x.dice) for x in r.licences] for r in licences.scan(df).collect()}
     assert got == {i: brute_licences(t) for i, t in enumerate(texts)} and sum(map(bool, got.values())) > 60
-    assert licences.scan(awkward).count() == awkward.count() and licences.scan(awkward.limit(0)).count() == 0
+    rows = licences.scan(awkward.withColumn("licence", F.lit(1))).collect()
+    assert [x for x in rows[0].asDict() if x not in awkward.columns] == ["licence", "dice", "licences"] and len(rows) == awkward.count()
+    assert all(r.licence is None and r.licences == [] for r in rows) and licences.scan(awkward.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licences.scan(df, least=0)
 
 
+def test_licences_anywhere_in_long_texts(spark):
+    """Paragraphs apart, wrapped lines, and grants in the middle of a sentence, with prose on both sides."""
+    rng = random.Random(4)
+    around = lambda t: f"{prose(rng, 300)}\n{t}\n{prose(rng, 300)}"
+    wrapped = lambda t: "\n# ".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    cases = []
+    for name, template in licences.TEMPLATES:
+        if len(template) > 200:
+            cases += [(name, around(template.replace("\n", "\n\n"))), (name, around(wrapped(template)))]
+        else:
+            cases.append((name, f"{prose(rng, 50)} and so {template.lower()} But {prose(rng, 50)}"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    for i, (name, _) in enumerate(cases):
+        assert max((x.dice for x in got[i] if x.licence == name), default=0) == 1, (name, got[i])
+
+
 def test_fingerprints(spark, awkward):
     rows = fingerprint.fingerprints(awkward).collect()
     by = {r.doc_id: r.sketch for r in rows}
