@@ -16,9 +16,10 @@ neighbouring suffixes for as long as possible:
 * Pass 1. Runs that share an anchor without being equal are cut, at fixed
   distances from the anchor, into runs of ``width`` suffixes. What the suffixes
   of a run have in common, the run's stem, is the most significant digit: all
-  but ``width - 1`` of the ``depth`` bytes.
-* Pass 2. Runs whose stem is shared are spread into suffixes, and the last digit
-  takes what is left of the ``depth`` bytes.
+  but ``width - 1`` of the ``depth`` bytes. Runs that are equal throughout
+  become one again.
+* Pass 2. Runs whose stem is shared with other runs are spread into suffixes,
+  and the last digit takes what is left of the ``depth`` bytes.
 
 Groups are keyed by hashes of the digits so far: 64 bits where a collision
 only delays a suffix's leaving, 128 bits where it would decide. Each pass counts
@@ -40,7 +41,7 @@ from .storage import Carried, cut, lists, pieces, rebuild, utf8
 _L, _I = T.LongType(), T.IntegerType()
 _ROW = [T.StructField("key", _L), T.StructField("tag", _I)]
 _RUN = T.StructType([T.StructField("anchor", _L), T.StructField("content", _L), *_ROW, *[T.StructField(n, _I) for n in ("low", "high", "at")]])
-_STEM = T.StructType([T.StructField("stem", _L), *_ROW, *[T.StructField(n, _I) for n in ("weight", "low", "high")]])
+_STEM = T.StructType([T.StructField("stem", _L), T.StructField("content", _L), *_ROW, *[T.StructField(n, _I) for n in ("weight", "low", "high")]])
 _SUFFIX = T.StructType([T.StructField("d", _L), T.StructField("e", _L), T.StructField("weight", _I), *_ROW, T.StructField("pos", _I)])
 
 
@@ -52,6 +53,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _content(rolling: tokens.Rolling, mark: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
+    """Equal for runs of suffixes that are equal throughout and lie alike around ``mark``."""
+    inner = ((mark - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
+    return tokens.mix(rolling.runs(low, high + depth) ^ tokens.mix(inner + np.uint64(1)))
+
+
 def stems(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of the run, first and last start, start of the stem) of runs cut at multiples of ``width`` before their anchor.
 
@@ -101,9 +108,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
                 grams = rolling.grams(digit)
                 own, doc, low, high = tokens.owned_ranges(grams, at, depth, digit)
                 if len(own):
-                    inner = ((own - low).astype(np.uint64) << np.uint64(32)) | (high - low).astype(np.uint64)
-                    content = tokens.mix(rolling.runs(low, high + depth) ^ tokens.mix(inner + np.uint64(1)))
-                    yield pa.RecordBatch.from_arrays([_signed(grams[own]), _signed(content), pa.array(keys[i:j][doc]), pa.array(tags[i:j][doc]), *[_int(x - at[doc]) for x in (low, high, own)]], names=_RUN.names)
+                    yield pa.RecordBatch.from_arrays([_signed(grams[own]), _signed(_content(rolling, own, low, high, depth)), pa.array(keys[i:j][doc]), pa.array(tags[i:j][doc]), *[_int(x - at[doc]) for x in (low, high, own)]], names=_RUN.names)
 
     sampled = base.select("body", "key", "tag").where(F.octet_length("body") >= depth).mapInArrow(runs, _RUN)
     # first() takes all from one row, any of the equal runs; the written table fixes which.
@@ -130,15 +135,20 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", depth: int = 400,
                 take = slice(run_at[i], run_at[j])
                 run, first, last, start = stems(low[take], high[take], anchor[take], width)
                 doc = np.repeat(np.arange(i, j), np.diff(run_at[i : j + 1]))[run]
-                start += offsets[doc] - offsets[i]
-                yield pa.RecordBatch.from_arrays([_signed(rolling.runs(start, start + stem)), pa.array(keys[doc]), pa.array(tags[doc]), _int(weight[take][run]), _int(first), _int(last)], names=_STEM.names)
+                base_at = offsets[doc] - offsets[i]
+                content = _content(rolling, start + base_at, first + base_at, last + base_at, depth)
+                yield pa.RecordBatch.from_arrays([_signed(rolling.runs(start + base_at, start + base_at + stem)), _signed(content), pa.array(keys[doc]), pa.array(tags[doc]), _int(weight[take][run]), _int(first), _int(last)], names=_STEM.names)
 
     open_ = _met(dealt, shared, "run", "inner").select(*columns, "run_weight", "run_low", "run_high", "run_at").mapInArrow(cut_runs, _STEM)
     alone = by_anchor.where("total = 1").select("key", "tag", "low", "high")
-    counted = open_.groupBy("stem").agg(F.sum("weight").alias("total"), *place).where(always)
+    # Of equal runs one stands for all: they are equally long, and its row is fixed by its place, also if a task runs again.
+    order_of = F.struct("key", "tag", "low")
+    same = open_.groupBy("stem", "content").agg(F.sum("weight").alias("total"), F.min(order_of).alias("p"), F.min(F.col("high") - F.col("low")).alias("more"))
+    same = same.select("stem", "content", "total", "p.*", (F.col("p.low") + F.col("more")).alias("high")).where(always)
+    counted = same.groupBy("stem").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("kinds"), *place).where(always)
     alone = alone.union(counted.where("total = 1").select("key", "tag", "low", "high"))
-    open_ = open_.join(counted.where("total > 1").select("stem"), "stem", "left_semi")
-    spread = _by_row(open_, "open", "low", "high", "weight")
+    open_ = same.join(counted.where("kinds > 1").select("stem"), "stem", "left_semi")
+    spread = _by_row(open_.select("key", "tag", "low", "high", F.least("total", F.lit(2)).cast("int").alias("weight")), "open", "low", "high", "weight")
 
     def suffixes(batches):
         for batch in batches:
