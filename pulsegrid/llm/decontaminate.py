@@ -1,13 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 A text's fingerprints are the least ``k``-gram hashes of every ``window``
-words. Two texts that share ``window`` words in a row have the same least hash
-there, so the join of training and test fingerprints misses no shared window.
-Each hit is extended to the window it stands for and compared word by word,
-so that equal hashes of different words do no harm.
+words, each kept once with the first and last window it is least in: about two
+for every ``window - k + 2`` words. Two texts that share ``window`` words in a row
+have the same least hash there, so the join of training and test fingerprints
+misses no shared window. Each hit is extended to the windows it stands for and
+compared word by word, so that equal hashes of different words do no harm.
 
 An item shorter than a window is one window. There are at most ``window - 1``
-such lengths; each that occurs gets fingerprints of its own length.
+such lengths; each that occurs gets fingerprints of its own length, from the
+same pass over the words. Texts themselves stay where they are: only hits move.
 """
 
 from __future__ import annotations
@@ -23,14 +25,33 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UNFOLDED = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def _windows(df: DataFrame, size: int, k: int, window: int, *keys: str) -> DataFrame:
-    """``keys, size, at, mark``: the fingerprint of each run of ``size`` words of ``words``."""
-    if size == window:
-        marks = minima(grams(df, "words", k, "marks"), "marks", size - k + 1)
-    else:
-        marks = grams(df, "words", size, "marks")
-    # Outer: an inferred filter on the size would compute the arrays again and again.
-    return marks.select(*keys, F.lit(size).alias("size"), F.posexplode_outer("marks").alias("at", "mark"))
+def _changes(at: str) -> F.Column:
+    """(mark, first) wherever the array ``at`` has another value than just before."""
+    fresh = lambda m, i: F.when((i == 0) | (F.get(at, i - 1) != m), F.struct(m.alias("mark"), i.alias("first")))
+    return F.filter(F.transform(at, fresh), lambda r: r.isNotNull())
+
+
+def _ended(runs: str, at: str, size: int) -> F.Column:
+    """(size, mark, first, last) of ``_changes``."""
+    last = lambda i: F.coalesce(F.get(runs, i + 1)["first"], F.size(at)) - 1
+    return F.transform(runs, lambda r, i: F.struct(F.lit(size).alias("size"), r["mark"].alias("mark"), r["first"].alias("first"), last(i).alias("last")))
+
+
+def _marks(df: DataFrame, sizes: list[int], k: int, window: int) -> DataFrame:
+    """``df`` with ``marks`` instead of ``words``: (size, mark, first, last) of each fingerprint and the windows it is of."""
+    names = [c for c in df.columns if c != "words"]
+    found = []
+    for size in sizes:
+        at = f"marks_{size}"
+        if size == window:
+            df = minima(grams(df, "words", k, at), at, size - k + 1)
+        else:
+            df = grams(df, "words", size, at)
+        # Each projection uses an array of the one before, which is then computed once.
+        df = df.withColumn(f"runs_{size}", _changes(at))
+        df = df.withColumn(f"runs_{size}", _ended(f"runs_{size}", at, size))
+        found.append(f"runs_{size}")
+    return df.select(*names, F.flatten(F.array(*found)).alias("marks") if len(found) > 1 else F.col(found[0]).alias("marks"))
 
 
 def _text(at: str, size: str) -> F.Column:
@@ -58,34 +79,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         .distinct(),
         "tests",
     )
-    sizes = sorted(r["size"] for r in tests.select("size").distinct().collect())
+    sizes = sorted(r["size"] for r in tests.select("size").distinct().collect())  # window at most
     spaced = base.select("key", words(lower_ascii("body"), SEPARATORS).alias("words"))
-    hits = base.select("key", F.lit(0).alias("size"), F.lit(0).alias("at")).where("false")
-    for size in sizes:
-        marks = _windows(tests.where(F.col("size") == size), size, k, window, "item").select("mark").where("mark is not null").distinct()
-        found = _windows(spaced, size, k, window, "key")
-        hits = hits.union(joined(found, cut(marks, "marks"), ["mark"], "left_semi").select("key", "size", "at"))
-    starts = hits.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("starts")).withColumnRenamed("key", "hit_key")
-    near = base.join(starts, F.col("key") == F.col("hit_key"), "left")
-    near = near.withColumn("words", F.when(F.col("starts").isNotNull(), words(lower_ascii("body"), SEPARATORS)))
-    near = near.select(
-        "key",
-        *carried.columns,
-        *(["body"] if "body" in carried.order else []),
-        F.size(words("body", _UNFOLDED)).cast("long").alias("n_words"),
-        F.transform("starts", lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.array_join(F.slice("words", s["at"] + 1, s["size"]), " ").alias("text"))).alias("near"),
-    )
-    near = cut(near, "near")
-    open_ = near.where("near is not null").dropDuplicates(["key"]).select("key", F.explode("near").alias("w")).select("key", "w.*")
+    if not sizes:
+        tests, sizes = tests.where("false"), [window]
+    # Outer: an inferred filter on the size would compute the arrays again and again.
+    own = _marks(tests.select("size", "words"), sizes, k, window).select(F.col("size").alias("own"), F.inline_outer("marks"))
+    own = cut(own.where("own = size").select("size", "mark").distinct(), "marks")
+    hits = _marks(spaced, sizes, k, window).select("key", F.inline_outer("marks"))
+    hits = cut(joined(hits, own, ["size", "mark"], "left_semi").select("key", "size", "first", "last"), "hits")
+    starts = cut(hits.groupBy("key").agg(F.collect_set(F.struct("size", "first", "last")).alias("runs")), "starts")
+    near = joined(base.select("key", "body"), starts, ["key"], "inner").select("key", "runs", words(lower_ascii("body"), SEPARATORS).alias("words"))
+    near = near.select("key", "words", F.explode(F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(i.alias("at"), r["size"].alias("size")))))).alias("w"))
+    near = near.select("key", "w.*", _text("w.at", "w.size").alias("text"))
     shown = tests.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size")))).select("item", "size", _text("at", "size").alias("text")).distinct()
     shown = cut(shown, "windows")
-    real = cut(joined(open_, shown.select("size", "text").distinct(), ["size", "text"], "left_semi"), "hits")
+    real = cut(joined(near, cut(shown.select("size", "text").distinct(), "texts"), ["size", "text"], "left_semi").distinct(), "real")
     ends = real.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end")))).alias("spans"))
     listed = joined(real.select("key", "size", "text").distinct(), shown, ["size", "text"], "inner").select("key", "item").distinct()
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = ends.join(listed, "key", "left").select(F.col("key").alias("hit_key"), _merge("spans").alias("spans"), "items")
+    found = cut(ends.join(listed, "key", "left").select("key", _merge("spans").alias("spans"), "items"), "found")
     none = "array<struct<start:int,end:int>>"
-    result = near.drop("near").join(found, F.col("key") == F.col("hit_key"), "left")
+    counted = base.select("key", *dict.fromkeys(carried.order), F.size(words("body", _UNFOLDED)).cast("long").alias("n_words"))
+    result = joined(counted, found, ["key"], "left")
     result = result.withColumns({"spans": F.coalesce("spans", F.array().cast(none)), "items": F.coalesce("items", F.array().cast("array<string>"))})
     result = result.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])))
     return carried.restore(result, "n_words", "n_hit", "spans", "items")

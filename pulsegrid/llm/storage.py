@@ -55,13 +55,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _width(name: str, kind: T.DataType) -> F.Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        each = 24 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 24
+        held = F.octet_length(F.array_join(name, "")) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+        return F.coalesce(F.size(name) * each + held, F.lit(0)) + 24
+    return F.lit(24)
+
+
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = 1 << 25) -> DataFrame:
     """A join that broadcasts ``right`` only if its values were summed to at most ``most`` bytes.
 
-    ``right`` should be a written table, since it is read for that. Beyond the
+    ``right`` should be a written table, since it is read for that; it holds
+    numbers, strings and arrays of them or of structs of numbers. Beyond the
     bound the join shuffles both sides.
     """
-    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if isinstance(f.dataType, T.StringType) else F.lit(24) for f in right.schema.fields), F.lit(0))
+    width = sum((_width(f.name, f.dataType) for f in right.schema.fields), F.lit(0))
     size = right.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
     return left.join(F.broadcast(right) if size <= most else right, on, how)
 
