@@ -10,8 +10,6 @@ two, without what lies above the threshold if anything lies below.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +17,11 @@ from .order import neighbours
 from .shingles import grams, words
 from .storage import Carried, cut
 
-LEAST = 16
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def _threshold(fraction: float) -> int:
-    return -(1 << 63) + int(fraction * (1 << 64))
+    return min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1)
 
 
 def sketches(df: DataFrame, text: str, out: str, shingle: int = 5, fraction: float = 0.125) -> DataFrame:
@@ -38,44 +35,22 @@ def sketches(df: DataFrame, text: str, out: str, shingle: int = 5, fraction: flo
     df = df.withColumn("sk_words", words(text, SPACES))
     df = grams(df, "sk_words", shingle, "sk_hash")
     df = df.withColumn("sk_hash", F.when(F.size("sk_words").between(1, shingle - 1), F.array(F.xxhash64("sk_words"))).otherwise(F.col("sk_hash")))
-    return df.withColumn("sk_low", F.array_distinct(_below("sk_hash", fraction))).withColumn(out, _kept("sk_low", "sk_hash")).select(*[n for n in names if n != out], out)
-
-
-def _below(hashes: str | Column, fraction: float) -> Column:
-    return F.filter(hashes, lambda h: h < F.lit(_threshold(fraction)))
+    return df.withColumn(out, F.array_sort(F.array_distinct(F.filter("sk_hash", lambda h: h < F.lit(_threshold(fraction)))))).select(*[n for n in names if n != out], out)
 
 
-def _kept(low: str | Column, all_: str | Column) -> Column:
-    """The hashes below the threshold, or the least of all; few texts need the second."""
-    return F.when(F.size(low) >= LEAST, F.array_sort(low)).otherwise(F.slice(F.array_sort(F.array_distinct(all_)), 1, LEAST))
-
-
-def merged(a: str, b: str, fraction: float = 0.125) -> Column:
+def merged(a: str, b: str) -> Column:
     """The sketch of the union of two documents' shingles."""
-    both = F.array_union(a, b)
-    return _kept(_below(both, fraction), both)
-
+    return F.array_sort(F.array_union(a, b))
 
-def _complete(sketch: str, fraction: float) -> Column:
-    """Up to which hash a sketch lacks none."""
-    return F.when(F.size(sketch) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(_threshold(fraction)), F.array_max(sketch)))
 
+def containment(a: str, b: str) -> Column:
+    """Estimated share of the smaller document's shingles that the other has.
 
-def containment(a: str, b: str, fraction: float = 0.125) -> Column:
-    """Estimated share of the smaller document's shingles that the other has; two empty sketches: 1."""
-    def counted(to: Column) -> Column:
-        return F.struct(*[F.size(F.filter(x, lambda h: h <= to)).alias(n) for n, x in (("a", F.col(a)), ("b", F.col(b)), ("both", F.array_intersect(a, b)))])
-
-    def share(n: Column) -> Column:
-        smaller = F.least(n["a"], n["b"])
-        return F.when(smaller > 0, n["both"].cast("double") / smaller.cast("double")).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
-
-    return _with(F.least(_complete(a, fraction), _complete(b, fraction)), lambda to: _with(counted(to), share))
-
-
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with the value computed once, also where a lambda inside ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    Two empty sketches are equal: 1; an empty one and another: 0.
+    """
+    smaller = F.least(F.size(a), F.size(b))
+    shared = F.size(F.array_intersect(a, b)).cast("double") / F.when(smaller > 0, smaller.cast("double"))
+    return F.coalesce(shared, F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
 
 
 def printed(sketch: str) -> Column:
@@ -114,16 +89,14 @@ def compared_with_edits(docs: DataFrame, text: str = "text", ident: str = "doc_i
     if first is not None:
         ordered = ordered.withColumn("after", F.coalesce("after", F.struct(F.lit(first["key"]).alias("key"), F.lit(first["n"]).alias("n"))))
     goes = ordered.select(F.col("key").alias("from_key"), F.col("after.key").alias("to_key"), F.floor(F.col("after.n") / 3).cast("int").alias("take"))
-    known = cut(sketches(base.select("key", "body"), "body", "sketch", shingle, fraction).select("key", "sketch"), "sketches")
-    known = known.groupBy(F.col("key").alias("known_key")).agg(F.first("sketch").alias("sketch"))
-    dealt = base.repartition("key")
-    own = dealt.join(known, F.col("key") == F.col("known_key"))
-    # The other columns go along only so that the exchange of ``dealt`` is the same for both uses.
-    sent = own.join(goes, F.col("key") == F.col("from_key")).select("to_key", F.struct(F.substring("body", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), *carried.columns).alias("next"))
+    dealt = sketches(base, "body", "sketch", shingle, fraction).repartition("key")
+    # A hash of the other columns goes along so that the exchange of ``dealt`` is the same for both uses.
+    head = F.struct(F.substring("body", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.xxhash64(*carried.columns).alias("rest"))
+    sent = dealt.join(goes, F.col("key") == F.col("from_key")).select("to_key", head.alias("next"))
     sent = sent.groupBy("to_key").agg(F.first("next").alias("next")).select("to_key", "next.head", "next.next_sketch")
-    both = own.join(sent, F.col("key") == F.col("to_key"))
+    both = dealt.join(sent, F.col("key") == F.col("to_key"))
     n = F.char_length("body")
     both = both.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("body", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))})
     both = sketches(both, "edited", "edited_sketch", shingle, fraction)
-    both = both.withColumns({"near_edited": containment("sketch", "edited_sketch", fraction), "near_next": containment("sketch", "next_sketch", fraction)})
+    both = both.withColumns({"near_edited": containment("sketch", "edited_sketch"), "near_next": containment("sketch", "next_sketch")})
     return carried.restore(both, "n_chars", "edited", "sketch", "edited_sketch", "near_edited", "near_next")

@@ -1,24 +1,28 @@
 """Main-text extraction: page structure and nearest-URL page differencing.
 
-Every page becomes lines, one per block of text, each marked as part of the
-main element, outside of it, or inside a menu, header, footer, sidebar,
-notice, advert, form or comment. Pages stand in order of host and URL path; a
-page is paired with the neighbour on its host whose path shares the longer
-prefix, and the lines of the two are aligned by longest common subsequence.
-Shared lines are template and are deleted, except for what markup proves to be
-text: lines in an article or main element (copies and quotations are shared,
-too), and pages of which nothing else would be left (copies of each other).
-
-Only keys and line hashes meet their neighbours; texts are shuffled once.
+Every page becomes lines, one per block of text, each marked by its tags as part
+of the main element, outside of it, or inside a menu, header, footer, sidebar,
+advert, form or comments. The text of a page is its main element, or all that is
+outside of boilerplate where it has none.
+
+Of that text, differencing decides. Pages of a host stand in order of URL path,
+equal texts once; each is paired with the two before and the two after it, and
+the lines of a pair are aligned by longest common subsequence. A line that the
+page shares with two of them or more, and with more than half, is template and
+is deleted, wherever it stands; a line that it shares with one is a quotation. A
+page of a host with two texts meets one other, and loses what it shares with it
+only outside of main elements. No page loses more than half of its characters:
+pages that share more are copies of each other.
+
+Pages are parsed once, into a table; only line hashes meet their neighbours.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from html import unescape
-from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,35 +30,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .order import neighbours
-from .storage import Carried, rebuild
+from .storage import Carried, cut, joined, lists, rebuild
 
 #: Kinds of lines.
 BOILERPLATE, OUTSIDE, MAIN = 0, 1, 2
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noframes noscript ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split())
-_SPACED = frozenset("br td th wbr img input textarea button iframe object video audio canvas svg".split())
-_RAW = frozenset("script style noscript template svg textarea title iframe xmp noembed noframes object canvas math".split())
+_SPACED = frozenset("br td th wbr img input textarea button iframe video audio svg".split())
+_RAW = frozenset("script style noscript template svg textarea title iframe xmp noembed noframes".split())
 _DROPPED = frozenset("nav footer aside form select button menu dialog head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-#: Words of class and id that mark boilerplate.
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense alert alerts announcement banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promoted promotion rail recommended related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets".split()
-)
+#: A class or id that is one of these words, not one that merely holds it, names a part that is no text.
+_MARKS = frozenset("ad ads advert adverts advertisement comment comments footer header menu nav navigation notice notices related replies reply sidebar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: On an article, main element or heading only these count: their classes often name what is around them.
-_STRONG = frozenset("ad ads advert adverts advertisement comment comments related replies reply promo promoted sponsored recommended".split())
+_STRONG = frozenset("ad ads advert adverts advertisement comment comments related replies reply".split())
 #: Of these, a main element inside undoes the mark: they may wrap a page, or lack an end.
-_LAYOUT = frozenset("header nav menu banner navigation masthead topbar toolbar".split())
+_LAYOUT = frozenset("header nav menu banner navigation toolbar".split())
 #: These hold main elements of others, also where a page has none elsewhere.
-_OTHERS = frozenset("dialog select head hidden comment comments commentlist disqus replies reply respond related recommended promo promos promoted promotion sponsor sponsored ad ads advert adverts advertisement advertising adsense complementary".split())
-#: From here a class says that an element has, or lacks, a part: it does not name one.
-_MODIFIER = re.compile(r"(?i)(?<![a-z])(?:has|with|without|no)[-_].*")
+_OTHERS = _STRONG | {"dialog", "select", "head", "hidden", "complementary"}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
-_PART = re.compile(r"[A-Za-z][a-z]*+|[A-Z]++")
 _HOST = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
 
@@ -72,9 +71,9 @@ def _reason(name: str, attributes: str, inside: bool) -> str | None:
         if key == "role" and value.lower() in _ROLES:
             return value.lower()
         if key in ("class", "id"):
-            for part in (p for token in value.split() for p in _PART.findall(_MODIFIER.sub("", token))):
-                if part.lower() in marks:
-                    return part.lower()
+            for token in value.lower().split():
+                if token in marks:
+                    return token
     return None
 
 
@@ -190,108 +189,132 @@ def _lines(html: str, kept: frozenset[str] | None = None) -> list[tuple[str, int
     return out
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of ``a`` and each prefix of ``b``, one bit of a number for each of ``b``."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = now = (1 << len(b)) - 1
+    for x in a:
+        if x in places:
+            met = now & places[x]
+            now = (now + met | now - met) & full
+    bits = np.frombuffer((full ^ now).to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(np.unpackbits(bits, bitorder="little")[: len(b)], dtype=np.int64)])
+
+
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence (by matches in order, as a longest increasing run)."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)  # falling, so that a line of a is used once
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[:2])
-        link = link[2]
-    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
-
-
-def main_text(texts: list[str], kinds: list[int], hashes: list[int], other_hashes: list[int]) -> str:
-    """What is left of a page after its lines met those of the page next to it."""
-    wanted = MAIN if MAIN in kinds else OUTSIDE
-    own = [i for i, k in enumerate(kinds) if k == wanted]
-    shared = {i for i, _ in common(hashes, other_hashes) if kinds[i] != MAIN}
-    left = [i for i in own if i not in shared]
-    return "\n\n".join(texts[i] for i in left or own)
+    """Index pairs of a longest common subsequence, in linear space: ``a`` is halved, and ``b`` cut where the halves fit best."""
+    both = set(a) & set(b)
+    places = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
+    a, b = ([x[i] for i in at] for x, at in zip((a, b), places))
+    found, open_ = [], [(0, len(a), 0, len(b))]
+    while open_:
+        i, i_end, j, j_end = open_.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            found.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        if i_end - i == 1:
+            if a[i] in b[j:j_end]:
+                found.append((i, b.index(a[i], j)))
+            continue
+        half, other = (i + i_end) // 2, b[j:j_end]
+        fit = _lengths(a[i:half], other) + _lengths(a[half:i_end][::-1], other[::-1])[::-1]
+        at = j + int(fit.argmax())
+        open_ += [(i, half, j, at), (half, i_end, at, j_end)]
+    return [(places[0][i], places[1][j]) for i, j in sorted(found)]
 
 
-_LONGS, _INTS, _TEXTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+def template_lines(sizes: np.ndarray, main: bool, shared: list[np.ndarray]) -> np.ndarray:
+    """The lines of a page that are template: of each page it met, ``shared`` has the lines it has in common."""
+    least = max(2, len(shared) // 2 + 1) if main or len(shared) > 1 else 1
+    lost = np.flatnonzero(np.bincount(np.concatenate(shared), minlength=len(sizes)) >= least)
+    return lost if 2 * sizes[lost].sum() <= sizes.sum() else lost[:0]
+
 
+_LONGS, _INTS, _TEXTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+_PAGE = [T.StructField("host", T.StringType()), T.StructField("sig", T.LongType())]
+
+
+def _templates(parsed: DataFrame) -> DataFrame:
+    """``host, sig, lost``: of parsed pages, the lines that differencing deletes."""
+    texts = parsed.where("host is not null and size(hashes) > 0").groupBy("host", "sig").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("hashes", "sizes", "main")])
+    texts = cut(texts, "texts")
+    ordered = neighbours(texts.select("host", "path", "sig"), ["host", "path", "sig"], ["host", "sig"])
+    ordered = ordered.where(F.col("after.host") == F.col("host")).select("host", "sig", F.col("after.sig").alias("next"))
+    second = ordered.select("host", F.col("sig").alias("next"), F.col("next").alias("second"))
+    pairs = ordered.union(ordered.join(second, ["host", "next"]).select("host", "sig", "second"))
+    lines_of = lambda name, to: texts.select("host", F.col("sig").alias(name), F.col("hashes").alias(to))
+    met = pairs.join(lines_of("sig", "one"), ["host", "sig"]).join(lines_of("next", "other"), ["host", "next"]).select("host", "sig", "next", "one", "other")
+    schema = T.StructType([*_PAGE, T.StructField("shared", _INTS)])
+
+    def align(batches):
+        for batch in batches:
+            host, sig, after, one, other = batch.columns
+            found = [common(a, b) for a, b in zip(one.to_pylist(), other.to_pylist())]
+            for page, side in ((sig, 0), (after, 1)):
+                yield pa.RecordBatch.from_arrays([host, page, pa.array([[p[side] for p in pairs] for pairs in found], pa.list_(pa.int32()))], names=schema.names)
 
-def _nearer(ordered: DataFrame) -> DataFrame:
-    """``key, partner``: of the two neighbours on the same host the one with the longer common path."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("partner", T.LongType())])
+    votes = met.mapInArrow(align, schema).groupBy("host", "sig").agg(F.collect_list("shared").alias("shared"))  # four at most
+    votes = votes.where("exists(shared, x -> size(x) > 0)").join(texts.select("host", "sig", "sizes", "main"), ["host", "sig"]).select("host", "sig", "shared", "sizes", "main")
+    done = T.StructType([*_PAGE, T.StructField("lost", _INTS)])
 
-    def run(batches):
+    def decide(batches):
         for batch in batches:
-            keys, partners = [], []
-            for row in batch.to_pylist():
-                near = [x for x in (row["before"], row["after"]) if x and x["host"] == row["host"]]
-                if row["host"] is not None and near:
-                    keys.append(row["key"])
-                    partners.append(max(near, key=lambda x: len(commonprefix([x["path"], row["path"]])))["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(partners, pa.int64())], names=schema.names)
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            lost = [template_lines(np.array(sizes), main, [np.array(x, np.int64) for x in shared]).tolist() for shared, sizes, main in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, pa.list_(pa.int32()))], names=done.names)
 
-    return ordered.mapInArrow(run, schema)
+    return votes.mapInArrow(decide, done).where("size(lost) > 0")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``pages`` with ``main_text``.
+    """The columns ``keep`` of ``pages`` with ``main_text`` and ``n_template``, the lines that differencing deleted.
 
     Blocks are joined by two newlines; character references are decoded and
     white space inside a block is one space. Null and empty pages give an empty
-    text. Pages without a host, or alone on their host, have no pair and are
-    judged by structure alone. Where a page has an article or main element, its
-    text is what is in there; else what is outside boilerplate. Rows that
-    repeat a row are one page of the order. A column named ``main_text`` is
-    replaced.
+    text. Pages without a host, or with the only text of their host, have no
+    pair and are judged by structure alone. Rows that repeat a row, and all
+    pages of a host with equal texts, are judged as one. Columns named like a
+    new one are replaced.
     """
     keep = pages.columns if keep is None else keep
     carried = Carried(pages, html, list(dict.fromkeys([*keep, url, html])))
-    source = carried.df.withColumn("key", carried.row_key())
-    kept = {n.lower() for n in keep} - {"main_text"}
+    kept = {n.lower() for n in keep} - {"main_text", "n_template"}
     order = [c for c, n in zip(carried.order, carried.names) if n.lower() in kept]
     fields = [T.StructField(c, t) for c, t in zip(carried.order, carried.types) if c in order]
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hashes", _LONGS), T.StructField("kinds", _INTS), T.StructField("texts", _TEXTS), *fields])
+    address = F.trim(F.col(carried.at(url)).cast("string")) if carried.at(url) in carried.columns else F.lit(None).cast("string")
+    source = carried.df.withColumns({"host": F.nullif(F.lower(F.regexp_extract(address, _HOST, 1)), F.lit("")), "path": F.regexp_replace(address, _HOST, "")})
+    schema = T.StructType([*_PAGE, T.StructField("path", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("hashes", _LONGS), T.StructField("sizes", _INTS), T.StructField("texts", _TEXTS), *fields])
 
     def parse(batches):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            found = [lines(page or "") for page in batch.column(at["body"]).to_pylist()]
-            hashes = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in page] for page in found]
-            kinds = [[k for _, k in page] for page in found]
-            texts = [[t if k == (MAIN if MAIN in ks else OUTSIDE) else "" for t, k in page] for page, ks in zip(found, kinds)]
-            new = [pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(at["key"]), *new, *rebuild(batch, order)], names=schema.names)
-
-    parsed = source.mapInArrow(parse, schema)
-    address = F.trim(F.col(carried.at(url)).cast("string"))
-    keyed = source.select("key", F.nullif(F.lower(F.regexp_extract(address, _HOST, 1)), F.lit("")).alias("host"), F.regexp_replace(address, _HOST, "").alias("path"))
-    pairs = _nearer(neighbours(keyed.dropDuplicates(["key"]), ["host", "path", "key"], ["host", "path", "key"]))
-    known = parsed.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes")).dropDuplicates(["other"])
-    met = pairs.join(known, F.col("partner") == F.col("other")).select(F.col("key").alias("own"), "other_hashes")
-    both = parsed.join(met, F.col("key") == F.col("own"), "left")
-    done = T.StructType([*fields, T.StructField("main_text", T.StringType())])
-
-    def compare(batches):
+            pages = [lines(page or "") for page in batch.column(at["body"]).to_pylist()]
+            main = [any(k == MAIN for _, k in page) for page in pages]
+            texts = [[t for t, k in page if k == (MAIN if m else OUTSIDE)] for page, m in zip(pages, main)]
+            hashes = [np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in page], np.uint64).view(np.int64) for page in texts]
+            sigs = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in hashes]
+            new = [pa.array(sigs, pa.int64()), batch.column(at["path"]), pa.array(main), pa.array(hashes, pa.list_(pa.int64())), pa.array([[*map(len, page)] for page in texts], pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(at["host"]), *new, *rebuild(batch, order)], names=schema.names)
+
+    parsed = cut(source.mapInArrow(parse, schema), "pages")
+    judged = joined(parsed.drop("path", "hashes", "sizes", "main"), cut(_templates(parsed), "templates"), ["host", "sig"], "left")
+    done = T.StructType([*fields, T.StructField("main_text", T.StringType()), T.StructField("n_template", T.IntegerType())])
+
+    def write(batches):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            columns = [batch.column(at[n]).to_pylist() for n in ("texts", "kinds", "hashes", "other_hashes")]
-            out = [main_text(t, k, h, other or []) for t, k, h, other in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([*rebuild(batch, order), pa.array(out, pa.string())], names=done.names)
+            out, lost, lost_at = [], *lists(batch.column(at["lost"]))
+            for d, texts in enumerate(batch.column(at["texts"]).to_pylist()):
+                gone = {*lost[lost_at[d] : lost_at[d + 1]].tolist()}
+                out.append("\n\n".join(t for i, t in enumerate(texts) if i not in gone))
+            yield pa.RecordBatch.from_arrays([*rebuild(batch, order), pa.array(out, pa.string()), pa.array(np.diff(lost_at).astype(np.int32))], names=done.names)
 
     names = dict(zip(carried.order, carried.names))
-    return both.mapInArrow(compare, done).select(*[F.col(c).alias(names[c]) for c in order], "main_text")
+    return judged.mapInArrow(write, done).select(*[F.col(c).alias(names[c]) for c in order], "main_text", "n_template")
