@@ -24,6 +24,7 @@ def resources(table: DataFrame, resource_type: str, now: int, since: str | int |
 
 
 def time_chunks(table: DataFrame, now: int, resource_type: str = "Observation", start: str | int | None = None, end: str | int | None = None, chunk_size: int = 3600) -> DataFrame:
+    """Rows with their interval, in order of intervals and of insertion."""
     return aggregate.time_chunked(scan.by_resource_type(table, resource_type, *scan.default_range(now, start, end)), chunk_size)
 
 
@@ -39,9 +40,7 @@ def trend(table: DataFrame, now: int, metric: str | None = None, resource_type:
 
 def stats(table: DataFrame, now: int, metric: str, start: str | int | None = None, end: str | int | None = None) -> DataFrame:
     """Statistics with a map of percentiles, ``p5`` to ``p99``."""
-    rows = scan.time_range(table, *scan.default_range(now, start, end), metric)
-    listed = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("percentile").cast("string")), "value")))
-    return analytics.stats(rows).join(analytics.percentiles(rows).groupBy("metric_name").agg(listed.alias("percentiles")), "metric_name")
+    return analytics.stats(scan.time_range(table, *scan.default_range(now, start, end), metric), analytics.PERCENTILES)
 
 
 def outliers(table: DataFrame, now: int, metric: str, start: str | int | None = None, end: str | int | None = None, threshold: float = 2.0) -> DataFrame:
@@ -57,9 +56,22 @@ def metrics(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scan.catalogue(table), scan.catalogue_counts(table)
 
 
-def post(bodies: DataFrame, path: str, resource: str = "Bundle") -> DataFrame:
-    """Parse ``seq, body``, append the records and return what was rejected (``seq, body, error``)."""
-    found, rejected = fhir.bundles(bodies)[:2] if resource == "Bundle" else fhir.PARSERS[resource](bodies)
-    good, _ = records.accepted(found.drop("place"))
-    records.write(good, path)
-    return rejected
+def post(bodies: DataFrame, path: str, resource: str = "Bundle", batch: int | None = None) -> DataFrame:
+    """Parse ``seq, body``, append the records and return what was rejected (``seq, body, error``).
+
+    Rejected are bodies, and single records whose value is not finite or whose
+    time is outside of its chunk. Records go by ``seq``, entry and place. The
+    number of the batch is the table's next, unless given: a batch that is
+    posted again then replaces itself.
+    """
+    spark = bodies.sparkSession
+    number = records.next_batch(spark, path) if batch is None else batch
+    ordered = bodies.orderBy("seq").persist()
+    try:
+        found, rejected = fhir.bundles(ordered)[:2] if resource == "Bundle" else fhir.PARSERS[resource](ordered)
+        good, late = records.accepted(records.numbered(found.withColumnRenamed("ingest_seq", "seq").drop("place"), number))
+        records.write(good.drop("seq"), path, mode="overwrite", batch=number)
+        late = records.as_rejected(late.withColumn("ingest_seq", F.col("seq")))
+        return rejected.unionByName(late)
+    finally:
+        ordered.unpersist()

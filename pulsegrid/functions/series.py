@@ -33,17 +33,21 @@ def with_rank(records: DataFrame, out: str = "rank") -> DataFrame:
     return rows.withColumn(out, F.col(out) - 1 + F.col("skip")).drop("skip")
 
 
-def with_value_rank(records: DataFrame, value: str = "value", out: str = "rank") -> DataFrame:
-    """``records`` with the place in the series by value, from 0, and the series' ``n``.
+def value_places(records: DataFrame, value: str = "value") -> DataFrame:
+    """``metric_name, value, low, high, n``: the places, from 0, that each distinct value takes in its series' order.
 
-    Values fall into ranges between approximate percentiles of their series;
-    equal values may take any order among themselves.
+    Equal values are counted before anything is ordered, so a series of one or
+    two values is as spread as any. Distinct values fall into ranges between
+    approximate percentiles of their series.
     """
+    rows = records.groupBy(SERIES, value).agg(F.count(F.lit(1)).alias("c"))
     steps = F.array(*[F.lit(i / 100) for i in range(1, 100)])
-    cuts = records.groupBy(SERIES).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("cuts"))
-    rows = records.join(cuts, SERIES).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    counts = rows.groupBy(SERIES, "part").agg(F.count(F.lit(1)).alias("c"))
+    cuts = rows.groupBy(SERIES).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("cuts"), F.sum("c").alias("n"))
+    rows = rows.join(cuts, SERIES).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    counts = rows.groupBy(SERIES, "part").agg(F.sum("c").alias("all"))
     before = Window.partitionBy(SERIES).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(SERIES, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"), F.sum("c").over(Window.partitionBy(SERIES)).alias("n"))
-    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy(SERIES, "part").orderBy(value))).join(counts, [SERIES, "part"])
-    return rows.withColumn(out, F.col(out) - 1 + F.col("skip")).drop("skip", "part")
+    counts = counts.select(SERIES, "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("skip"))
+    up_to = Window.partitionBy(SERIES, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("up_to", F.sum("c").over(up_to)).join(counts, [SERIES, "part"])
+    high = F.col("skip") + F.col("up_to") - 1
+    return rows.select(SERIES, value, (high - F.col("c") + 1).alias("low"), high.alias("high"), "n")

@@ -43,14 +43,15 @@ def aggregate_intervals(records: DataFrame, seconds: int, how: str) -> DataFrame
 
 
 def time_chunked(records: DataFrame, seconds: int) -> DataFrame:
-    """Whole rows by intervals of ``seconds``, in order of insertion; intervals in order of time."""
+    """Whole rows with the interval of ``seconds`` that they are in, ``chunk_start`` to ``chunk_end``.
+
+    Rows stay rows: they come in order of intervals and of insertion, and an
+    interval may be as large as it likes.
+    """
     if seconds <= 0:
         raise ValueError("chunks must be longer than zero seconds")
     start = F.floor(F.col("timestamp") / seconds).cast("long") * seconds
-    row = F.struct("ingest_seq", "timestamp", "metric_name", "value", F.map_entries("context").alias("context"), "resource_type")
-    grouped = records.withColumn("chunk_start", start).groupBy("chunk_start")
-    plain = grouped.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("records"))
-    return plain.select("chunk_start", (F.col("chunk_start") + seconds).alias("chunk_end"), "n", "records").orderBy("chunk_start")
+    return records.select(start.alias("chunk_start"), (start + seconds).alias("chunk_end"), *records.columns).orderBy("chunk_start", "ingest_seq")
 
 
 def time_chunk_sizes(records: DataFrame, seconds: int) -> DataFrame:

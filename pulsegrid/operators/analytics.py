@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import ORDER, SERIES, with_rank, with_value_rank
+from ..functions.series import ORDER, SERIES, with_rank, value_places
 from .scan import by_resource_type
 
 #: The percentiles of ``percentiles``.
@@ -51,21 +51,29 @@ def _at(percent: float) -> Column:
     return F.round(F.lit(percent / 100) * (F.col("n") - 1)).cast("long")
 
 
+def _percents(places: DataFrame, percents: tuple[int, ...]) -> DataFrame:
+    wanted = F.filter(F.array(*[F.struct(F.lit(p).alias("percentile"), _at(p).alias("at")) for p in percents]), lambda x: x["at"].between(F.col("low"), F.col("high")))
+    return places.select(SERIES, "value", F.explode(wanted).alias("x")).select(SERIES, "x.percentile", "value")
+
+
 def percentiles(records: DataFrame, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """``metric_name, percentile, value``: the value at rank ``round(p / 100 * (n - 1))``, without interpolation."""
-    rows = with_value_rank(records.select(SERIES, "value"))
-    wanted = F.filter(F.array(*[F.struct(F.lit(p).alias("percentile"), _at(p).alias("at")) for p in percents]), lambda x: x["at"] == F.col("rank"))
-    return rows.select(SERIES, "value", F.explode(wanted).alias("x")).select(SERIES, "x.percentile", "value")
+    return _percents(value_places(records.select(SERIES, "value")), percents)
 
 
-def stats(records: DataFrame) -> DataFrame:
-    """Extremes, mean, median (the mean of the middle two) and population deviation."""
+def stats(records: DataFrame, percents: tuple[int, ...] = ()) -> DataFrame:
+    """Extremes, mean, median (the mean of the middle two) and population deviation.
+
+    With ``percents``, also a map of percentiles, ``p5`` and so on; values are
+    put in order once for both.
+    """
     v = F.col("value")
     plain = records.groupBy(SERIES).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), F.count(F.lit(1)).alias("n"))
-    ranked = with_value_rank(records.select(SERIES, "value"))
-    half = F.floor((F.col("n") - 1) / 2)
-    middle = ranked.where((F.col("rank") == half) | (F.col("rank") == F.floor(F.col("n") / 2))).groupBy(SERIES).agg(F.avg("value").alias("median"))
-    return plain.join(middle, SERIES)
+    ranks = {**{f"p{p}": _at(p) for p in percents}, "low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}
+    taken = [F.max(F.when(at.between(F.col("low"), F.col("high")), F.col("value"))).alias(name) for name, at in ranks.items()]
+    picked = value_places(records.select(SERIES, "value")).groupBy(SERIES).agg(*taken)
+    shown = [F.create_map(*[x for p in percents for x in (F.lit(f"p{p}"), F.col(f"p{p}"))]).alias("percentiles")] if percents else []
+    return plain.join(picked.select(SERIES, ((F.col("low") + F.col("high")) / 2).alias("median"), *shown), SERIES)
 
 
 def outliers(records: DataFrame, threshold: float = 2.0) -> DataFrame:

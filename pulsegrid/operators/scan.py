@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import with_previous
+from ..functions.series import ORDER, with_previous
 from ..sources.records import CHUNK_SECONDS, chunk_of
 
 #: Names of LOINC codes.
@@ -124,8 +124,8 @@ def key_parts(metric: str = "metric_name") -> dict[str, Column]:
     return {"subject_id": at(0), "code": at(1), "component": F.when(four, at(2)), "unit": F.when(four, at(3)).otherwise(at(2)), "unit_legacy": at(2)}
 
 
-def api_projection(records: DataFrame) -> DataFrame:
-    """Records as the API shows them; ``context`` stays a map."""
+def api_projection(records: DataFrame, *more: str) -> DataFrame:
+    """Records as the API shows them, with the columns ``more``; ``context`` stays a map."""
     parts = key_parts()
     names = F.create_map(*[F.lit(x) for pair in CODE_NAMES.items() for x in pair])
     iso = F.when(F.col("timestamp") > 0, F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise("unknown")
@@ -141,9 +141,27 @@ def api_projection(records: DataFrame) -> DataFrame:
         F.lit("http://loinc.org").alias("code_system"),
         F.coalesce(F.try_element_at(names, parts["code"]), F.lit("")).alias("code_display"),
         "context",
+        *more,
     )
 
 
+def api_json(records: DataFrame) -> DataFrame:
+    """``ingest_seq`` and ``body``: rows as the API sends them, the context's keys beside the other fields.
+
+    A key of the context that is also a field's name comes after the field.
+    """
+    shown = api_projection(records, "ingest_seq")
+    plain, more = F.to_json(F.struct(*[c for c in shown.columns if c not in ("context", "ingest_seq")])), F.to_json("context")
+    joint = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(","), F.substring(more, F.lit(2), F.length(more)))
+    return shown.select("ingest_seq", F.when(F.size("context") == 0, plain).otherwise(joint).alias("body"))
+
+
+def subject_rows(records: DataFrame) -> DataFrame:
+    """Rows by subject: ``subject_id`` and the record, subjects together and in order of time within files."""
+    keyed = records.withColumn("subject_id", key_parts()["subject_id"])
+    return keyed.repartition("subject_id", F.pmod(F.xxhash64("metric_name"), F.lit(8))).sortWithinPartitions("subject_id", *ORDER).select("subject_id", *records.columns)
+
+
 def by_subject(records: DataFrame) -> DataFrame:
     """What each subject has: rows, series, and its first and last time."""
     keyed = records.withColumn("subject_id", key_parts()["subject_id"])

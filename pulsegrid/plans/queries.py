@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, analytics, changepoints, multivariate, scan, seasonal, windows
-from ..sources import fhir
+from ..sources import fhir, records
 from ..sources.records import from_events, prepared
 
 DAY = 86400
@@ -128,6 +130,29 @@ def _(r):
     return scan.by_subject(r)
 
 
+@_query("subject_rows", f"SELECT split_part(metric_name, '|', 1) AS subject_id, timestamp, metric_name, value, k, resource_type, ingest_seq, chunk_id FROM recs", fine=True)
+def _(r):
+    return scan.subject_rows(r).select("subject_id", *_FLAT)
+
+
+@_query("api_json", "SELECT ingest_seq, metric_name, resource_type || ':' || metric_name AS id, 'u' AS unit, k FROM recs", fine=True)
+def _(r):
+    sent = scan.api_json(r)
+    return sent.select("ingest_seq", *[F.get_json_object("body", f"$.{n}").alias(n) for n in ("metric_name", "id", "unit", "k")])
+
+
+def stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of one series out of a written table, whose chunks prune the scan."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{shared}/records-{uuid.uuid4().hex}"
+    records.write(records.from_events(spark, sf_dir), path)
+    return scan.time_range(records.load(spark, path), START, END, "purchase").select(*_FLAT)
+
+
+QUERIES["stored_range"] = stored_range
+ORACLES["stored_range"] = f"WITH {_records_sql(False)} {_FLAT_SQL} recs WHERE {_RANGE_SQL} AND metric_name = 'purchase'"
+
+
 @_query("retention_filter", f"{_FLAT_SQL} recs WHERE chunk_id >= {END} - 259200")
 def _(r):
     return scan.retained(r, END, 259200).select(*_FLAT)
@@ -161,7 +186,14 @@ def _(r):
 @_query("time_chunked", f"SELECT timestamp - timestamp % 86400 AS chunk_start, timestamp - timestamp % 86400 + 86400 AS chunk_end, count(*) AS n, string_agg(CAST(ingest_seq AS VARCHAR), ',' ORDER BY ingest_seq) AS seqs FROM recs WHERE {_RANGE_SQL} AND metric_name IN (SELECT metric_name FROM recs WHERE resource_type = 'DeviceObservation') GROUP BY 1, 2")
 def _(r):
     out = aggregate.time_chunked(scan.by_resource_type(r, "DeviceObservation", START, END), DAY)
-    return out.select("chunk_start", "chunk_end", "n", F.array_join(F.transform("records.ingest_seq", lambda x: x.cast("string")), ",").alias("seqs"))
+    listed = out.groupBy("chunk_start", "chunk_end").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("ingest_seq")).alias("seqs"))
+    return listed.withColumn("seqs", F.array_join(F.transform("seqs", lambda x: x.cast("string")), ","))
+
+
+@_query("time_chunked_rows", f"SELECT timestamp - timestamp % 86400 AS chunk_start, timestamp - timestamp % 86400 + 86400 AS chunk_end, timestamp, metric_name, value, k, resource_type, ingest_seq FROM recs WHERE {_RANGE_SQL} AND metric_name IN (SELECT metric_name FROM recs WHERE resource_type = 'VitalSigns')")
+def _(r):
+    out = aggregate.time_chunked(scan.by_resource_type(r, "VitalSigns", START, END), DAY)
+    return out.select("chunk_start", "chunk_end", "timestamp", "metric_name", "value", "context.k", "resource_type", "ingest_seq")
 
 
 @_query("time_chunked_counts", "SELECT timestamp - timestamp % 21600 AS chunk_start, count(*) AS n, count(DISTINCT metric_name) AS metrics FROM recs GROUP BY 1", fine=True)
@@ -275,11 +307,26 @@ def _(r):
     return _rounded(multivariate.mahalanobis(multivariate.bucket_means(r), ["click", "view"]))
 
 
-@_query("mahalanobis_3d")
+_TRIPLE_SQL = _HOURLY_SQL + """, w AS (SELECT a.ts AS timestamp, a.v AS x0, b.v AS x1, c.v AS x2 FROM h a JOIN h b ON a.ts = b.ts JOIN h c ON a.ts = c.ts WHERE a.metric_name = 'click' AND b.metric_name = 'error' AND c.metric_name = 'view'),
+m AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, var_samp(x0) + 1e-6 AS a, var_samp(x1) + 1e-6 AS d, var_samp(x2) + 1e-6 AS f, covar_samp(x0, x1) AS b, covar_samp(x0, x2) AS c, covar_samp(x1, x2) AS e FROM w),
+o AS (SELECT timestamp, x0, x1, x2, x0 - m0 AS p, x1 - m1 AS q, x2 - m2 AS r, a, b, c, d, e, f, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM w, m),
+s AS (SELECT timestamp, x0, x1, x2, sqrt(((d * f - e * e) * p * p + (a * f - c * c) * q * q + (a * d - b * b) * r * r + 2 * (c * e - b * f) * p * q + 2 * (b * e - c * d) * p * r + 2 * (b * c - a * e) * q * r) / det) AS distance FROM o)
+SELECT timestamp, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2, round(distance, 6) AS distance FROM s WHERE distance > 3"""
+
+
+@_query("mahalanobis_3d", _TRIPLE_SQL)
 def _(r):
     return _rounded(multivariate.mahalanobis(multivariate.bucket_means(r), ["click", "error", "view"]))
 
 
+@_query("correlated_groups")
+def _(r):
+    """Groups of series correlated over 0.02 by the hour: far below the default, so that these independent series have some."""
+    groups = multivariate.correlated_groups(multivariate.bucket_means(r), 0.02)
+    rows = [(i, m) for i, group in enumerate(groups) for m in group]
+    return prepared(r.sparkSession).createDataFrame(rows, "group_id long, metric_name string")
+
+
 @_query("max_zscore", _PAIR_SQL + ", m AS (SELECT *, greatest(abs(x0 - avg(x0) OVER ()) / stddev_pop(x0) OVER (), abs(x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER ()) AS score FROM w) SELECT timestamp, round(x0, 6) AS x0, round(x1, 6) AS x1, round(score, 6) AS score FROM m WHERE score > 3")
 def _(r):
     return _rounded(multivariate.max_zscore(multivariate.bucket_means(r), ["click", "view"]))
@@ -374,3 +421,82 @@ def fhir_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["fhir_rejected"] = fhir_rejected
 ORACLES["fhir_rejected"] = "SELECT CAST(event_id AS BIGINT) AS seq, 'Unknown vital sign code' AS error FROM events WHERE event_type = 'signup' AND event_id % 3 != 0"
+
+
+def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == kind)
+
+
+def _common(code: str) -> list[Column]:
+    """Status, code, subject and time of a resource made of an event."""
+    when = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx").alias("effectiveDateTime")
+    return [F.lit("final").alias("status"), _coded(code).alias("code"), F.struct(F.concat(F.lit("Patient/"), F.col("user_id").cast("string")).alias("reference")).alias("subject"), when]
+
+
+def fhir_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three samples 600 ms apart and one token that is no number."""
+    k = F.col("event_id") % 100
+    data = F.concat_ws(" ", k, F.lit("E"), k + 1, k + 2)
+    wave = F.struct(F.lit("0").alias("origin"), F.lit(600.0).alias("period"), F.lit(2.0).alias("factor"), F.lit(1).alias("dimensions"), data.alias("data"))
+    bodies = _events(spark, sf_dir, "view").select(F.col("event_id").cast("long").alias("seq"), F.to_json(F.struct(F.lit("Observation").alias("resourceType"), *_common("11524-6"), wave.alias("valueSampledData"))).alias("body"))
+    return fhir.observations(bodies)[0].select(*_ROW, F.col("context")["period_ms"].alias("period_ms"))
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle for each user: clicks as observations, of which some have no value, and other resources between them."""
+    v = F.round(F.col("value").cast("double"), 2)
+    quantity = F.when(F.col("event_id") % 5 != 0, _quantity(v, "mg"))
+    resource = F.struct(F.when(F.col("event_id") % 7 == 0, "Patient").otherwise("Observation").alias("resourceType"), *_common("8867-4"), quantity.alias("valueQuantity"))
+    entry = F.struct("event_id", F.struct(resource.alias("resource"), F.struct(F.lit("POST").alias("method"), F.lit("Observation").alias("url")).alias("request")).alias("entry"))
+    grouped = _events(spark, sf_dir, "click").groupBy("user_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: a["event_id"] - b["event_id"])["entry"].alias("entry"))
+    return grouped.select(F.col("user_id").cast("long").alias("seq"), F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("batch").alias("type"), "entry")).alias("body"))
+
+
+def fhir_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fhir.bundles(_bundles(spark, sf_dir))[0].select(*_ROW)
+
+
+def fhir_bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fhir.bundles(_bundles(spark, sf_dir))[2].select("seq", "processed", "errors", "status")
+
+
+def _pressures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high, low = F.col("event_id") % 50 + 100, F.col("event_id") % 40 + 50
+    parts = F.array(*[F.struct(_coded(c).alias("code"), _quantity(x.cast("double"), "mmHg").alias("valueQuantity")) for c, x in ((fhir.SYSTOLIC, high), (fhir.DIASTOLIC, low))])
+    bodies = _events(spark, sf_dir, "purchase").select(F.col("event_id").cast("long").alias("seq"), F.to_json(F.struct(F.lit("VitalSigns").alias("resourceType"), *_common(fhir.PRESSURE), parts.alias("component"))).alias("body"))
+    return fhir.vital_signs(bodies)[0]
+
+
+def fhir_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pressures(spark, sf_dir)
+    return found.select(*_ROW, *[F.try_element_at("context", F.lit(k)).alias(k) for k in ("bp_diastolic", "bp_systolic")])
+
+
+def pressure_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.pressure_pairs(_pressures(spark, sf_dir))
+
+
+def fhir_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pressures to records and back to resources."""
+    back = fhir.to_resources(_pressures(spark, sf_dir))
+    read = lambda path: F.get_json_object("body", path)
+    return back.select("resource_type", "subject_id", "code", "timestamp", read("$.vitalType").alias("vital"), read("$.valueQuantity.value").cast("double").alias("value"), read("$.diastolic").cast("double").alias("diastolic"))
+
+
+@_query("fhir_unconvertible", "SELECT ingest_seq, 'Unknown vital code: ' || split_part(metric_name, '|', 2) AS error FROM recs WHERE resource_type = 'VitalSigns'", fine=True)
+def _(r):
+    return fhir.unconvertible(r).select("ingest_seq", "error")
+
+
+QUERIES |= {"fhir_sampled": fhir_sampled, "fhir_bundle": fhir_bundle, "fhir_bundle_summary": fhir_bundle_summary, "fhir_pressure": fhir_pressure, "pressure_pairs": pressure_pairs, "fhir_back": fhir_back}
+_EVENT_SQL = "WITH e AS (SELECT epoch_us(ts) // 1000000 AS timestamp, CAST(event_id AS BIGINT) AS event_id, user_id, round(CAST(value AS DOUBLE), 2) AS v, event_id % 50 + 100 AS high, event_id % 40 + 50 AS low FROM events WHERE event_type = '{kind}')"
+_ENTRY_SQL = _EVENT_SQL.format(kind="click") + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at FROM e)"
+_PRESSURE_SQL = _EVENT_SQL.format(kind="purchase")
+ORACLES |= {
+    "fhir_sampled": _EVENT_SQL.format(kind="view") + " SELECT timestamp + i * 600 // 1000 AS timestamp, user_id || '|11524-6|sampled' AS metric_name, CAST((event_id % 100 + i) * 2 AS DOUBLE) AS value, 'Observation' AS resource_type, event_id AS ingest_seq, CAST(i AS INTEGER) AS place, '600' AS period_ms FROM e, (SELECT unnest([0, 1, 2]) AS i)",
+    "fhir_bundle": _ENTRY_SQL + " SELECT timestamp, user_id || '|8867-4|mg' AS metric_name, v AS value, 'Observation' AS resource_type, CAST(user_id * 67108864 + at AS BIGINT) AS ingest_seq, 0 AS place FROM n WHERE event_id % 7 != 0 AND event_id % 5 != 0",
+    "fhir_bundle_summary": _ENTRY_SQL + " SELECT CAST(user_id AS BIGINT) AS seq, count(*) FILTER (event_id % 7 != 0 AND event_id % 5 != 0) AS processed, count(*) FILTER (event_id % 7 != 0 AND event_id % 5 = 0) AS errors, CASE WHEN errors > 0 THEN 'partial' ELSE 'success' END AS status FROM n GROUP BY user_id",
+    "fhir_pressure": _PRESSURE_SQL + " SELECT timestamp, user_id || '|8480-6|mmHg' AS metric_name, CAST(high AS DOUBLE) AS value, 'VitalSigns' AS resource_type, event_id AS ingest_seq, 0 AS place, CAST(low AS VARCHAR) AS bp_diastolic, NULL AS bp_systolic FROM e UNION ALL SELECT timestamp, user_id || '|8462-4|mmHg', CAST(low AS DOUBLE), 'VitalSigns', event_id, 1, NULL, CAST(high AS VARCHAR) FROM e",
+    "pressure_pairs": _PRESSURE_SQL + " SELECT user_id || '|8480-6|mmHg' AS metric_name, timestamp, high || '/' || low AS pressure FROM e",
+    "fhir_back": _PRESSURE_SQL + " SELECT 'VitalSigns' AS resource_type, CAST(user_id AS VARCHAR) AS subject_id, '8480-6' AS code, timestamp, 'BloodPressure' AS vital, CAST(high AS DOUBLE) AS value, CAST(low AS DOUBLE) AS diastolic FROM e UNION ALL SELECT 'VitalSigns', CAST(user_id AS VARCHAR), '8462-4', timestamp, 'BloodPressure', CAST(low AS DOUBLE), NULL FROM e",
+}

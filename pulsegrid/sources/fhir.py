@@ -53,6 +53,22 @@ def _errors(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for ok, message in checks], F.lit(None).cast("string"))
 
 
+def _there(**fields: Column | str) -> list[tuple[Column, str]]:
+    """A check for each field that a record cannot do without."""
+    return [((F.col(c) if isinstance(c, str) else c).isNotNull(), f"Missing {name}") for name, c in fields.items()]
+
+
+def _whole_parts() -> tuple[Column, str]:
+    """Components, where there are any, have a code, a value and a unit."""
+    whole = F.forall("component", lambda c: F.get(c["code"]["coding"], F.lit(0))["code"].isNotNull() & c["valueQuantity"]["value"].isNotNull() & c["valueQuantity"]["unit"].isNotNull())
+    return F.col("component").isNull() | whole, "Missing part of a component"
+
+
+def _unit_of(quantity: str) -> tuple[Column, str]:
+    """A quantity, where there is one, has a value and a unit."""
+    return F.col(quantity).isNull() | (F.col(f"{quantity}.value").isNotNull() & F.col(f"{quantity}.unit").isNotNull()), "Missing value or unit"
+
+
 def _finish(rows: DataFrame, resource: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of rows with ``seq, body, error, timestamp, made`` (array of rows)."""
     rows = rows.withColumn("error", F.coalesce("error", F.when(F.size("made") == 0, F.lit("No value"))))
@@ -62,15 +78,24 @@ def _finish(rows: DataFrame, resource: str) -> tuple[DataFrame, DataFrame]:
     return records, rejected
 
 
+def _once(value: Column) -> Column:
+    """``value``, as the output of a generator: Spark then computes it once, and not again for each use and each sample."""
+    return F.explode(F.array(value))
+
+
 def _parsed(bodies: DataFrame, resource: str, check_type: bool) -> DataFrame:
-    rows = bodies.select("seq", "body", F.from_json("body", SCHEMAS[resource]).alias("j")).select("seq", "body", "j.*")
+    rows = bodies.select("seq", "body", _once(F.from_json("body", SCHEMAS[resource])).alias("j")).select("seq", "body", "j.*")
     rows = rows.withColumn("timestamp", unix_time("effectiveDateTime"))
     typed = [(F.col("resourceType") == resource, f"Resource type must be {resource}")] if check_type else []
     return rows.withColumn("error", _errors((F.col("resourceType").isNotNull(), "Invalid JSON"), *typed, (F.col("timestamp").isNotNull(), "Invalid timestamp format"), ((F.col("timestamp") >= 0) | (F.col("timestamp") % 3600 == 0), "Timestamp out of chunk range")))
 
 
 def observations(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected) of ``seq, body``. A quantity goes before components, these before samples."""
+    """(records, rejected) of ``seq, body``. A quantity goes before components, these before samples.
+
+    A field that a record, its key or its context needs must be there; others,
+    such as the system of a code, may be missing.
+    """
     rows = _parsed(bodies, "Observation", check_type=False)
     patient, code = _stripped("subject.reference"), _coding("code")["code"]
     device = _context(device_id=F.replace(F.col("device.reference"), F.lit("Device/"), F.lit("")))
@@ -85,9 +110,11 @@ def observations(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     wave = F.when(s.isNotNull(), wave)
     single = F.when(F.col("valueQuantity.value").isNotNull(), one).when(F.size("component") > 0, many)
     made = F.coalesce(F.transform(single, lambda r: F.struct(F.col("timestamp").alias("at"), r.alias("row"))), wave)
-    rows = rows.withColumn("error", F.coalesce("error", _errors((code.isNotNull(), "Empty coding"), (patient.isNotNull(), "No subject"), (F.size(made) > 0, "No value"))))
+    rows = rows.withColumn("made", _once(made))
+    sampled = (s.isNull() | (s["period"].isNotNull() & s["data"].isNotNull()), "Missing part of the sampled data")
+    rows = rows.withColumn("error", F.coalesce("error", _errors((code.isNotNull(), "Empty coding"), *_there(status="status", subject=patient), _unit_of("valueQuantity"), _whole_parts(), sampled, (F.size("made") > 0, "No value"))))
     rejected = rows.where("error is not null").select("seq", "body", "error")
-    fine = rows.where("error is null").select("seq", F.posexplode(made).alias("place", "m"))
+    fine = rows.where("error is null").select("seq", F.posexplode("made").alias("place", "m"))
     records = fine.select(F.col("m.at").alias("timestamp"), "m.row.metric_name", "m.row.value", "m.row.context", F.lit("Observation").alias("resource_type"), F.col("seq").alias("ingest_seq"), "place")
     return records, rejected
 
@@ -97,7 +124,7 @@ def medications(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     coding = _coding("medication")
     about = _context(medication_display=coding["display"], route=F.col("route.display"), status=F.col("status"), practitioner_id=F.replace(F.col("performer.reference"), F.lit("Practitioner/"), F.lit("")))
     made = F.array(_row(F.concat_ws("|", _stripped("subject.reference"), coding["code"], F.col("dosage.unit")), F.col("dosage.value"), about))
-    rows = rows.withColumn("error", F.coalesce("error", _errors((coding["code"].isNotNull(), "Empty coding"), (F.col("dosage.value").isNotNull(), "No dosage"))))
+    rows = rows.withColumn("error", F.coalesce("error", _errors((coding["code"].isNotNull(), "Empty coding"), (F.col("dosage.value").isNotNull(), "No dosage"), *_there(unit="dosage.unit", status="status", subject="subject.reference", route="route.display"))))
     return _finish(rows.withColumn("made", made), "MedicationAdministration")
 
 
@@ -107,7 +134,7 @@ def devices(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = _context(device_type=F.col("deviceType"), metric_type=F.col("metricType"), status=F.col("status"), patient_id=_stripped("subject.reference"))
     device = F.replace(F.col("device.reference"), F.lit("Device/"), F.lit(""))
     made = F.array(_row(F.concat_ws("|", device, coding["code"], F.col("valueQuantity.unit")), F.col("valueQuantity.value"), about))
-    rows = rows.withColumn("error", F.coalesce("error", _errors((coding["code"].isNotNull(), "Empty coding"), (F.col("valueQuantity.value").isNotNull(), "No value"))))
+    rows = rows.withColumn("error", F.coalesce("error", _errors((coding["code"].isNotNull(), "Empty coding"), (F.col("valueQuantity.value").isNotNull(), "No value"), *_there(unit="valueQuantity.unit", status="status", device="device.reference", deviceType="deviceType", metricType="metricType"))))
     return _finish(rows.withColumn("made", made), "DeviceObservation")
 
 
@@ -128,13 +155,17 @@ def vital_signs(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     has_one = F.col("valueQuantity.value").isNotNull()
     pressure = (code == PRESSURE) & (F.size("component") == 2) & high.isNotNull() & low.isNotNull()
     known = F.when(has_one, F.map_contains_key(names, code)).otherwise(True)
-    rows = rows.withColumn("error", F.coalesce("error", _errors((code.isNotNull(), "Empty coding"), (known, "Unknown vital sign code"), (has_one | pressure, "No value"))))
+    rows = rows.withColumn("error", F.coalesce("error", _errors((code.isNotNull(), "Empty coding"), *_there(subject=patient), (known, "Unknown vital sign code"), _unit_of("valueQuantity"), (has_one | pressure, "No value"), (has_one | unit.isNotNull(), "Missing value or unit"))))
     return _finish(rows.withColumn("made", F.when(has_one, single).otherwise(both)), "VitalSigns")
 
 
 PARSERS = {"Observation": observations, "MedicationAdministration": medications, "DeviceObservation": devices, "VitalSigns": vital_signs}
 
 
+#: A body has less than 2^31 bytes and an entry takes over 32 of them, so entries of two bundles never meet.
+ENTRIES = 1 << 26
+
+
 def bundles(bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, rejected, summary) of bundles ``seq, body``.
 
@@ -142,23 +173,39 @@ def bundles(bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of records follows the bundle and the entry.
     """
     entry = "struct<resource:string,request:struct<method:string,url:string>>"
-    parsed = bodies.select("seq", F.from_json("body", f"resourceType string, entry array<{entry}>").alias("b"))
+    parsed = bodies.select("seq", _once(F.from_json("body", f"resourceType string, entry array<{entry}>")).alias("b"))
     entries = parsed.select(F.col("seq").alias("bundle"), F.posexplode("b.entry").alias("at", "e"))
     wanted = entries.where((F.get_json_object("e.resource", "$.resourceType") == "Observation") & (F.col("e.request.method") == "POST"))
-    posted = wanted.select((F.col("bundle") * 1_000_000 + F.col("at")).alias("seq"), F.col("e.resource").alias("body"))
+    posted = wanted.select((F.col("bundle") * ENTRIES + F.col("at")).alias("seq"), F.col("e.resource").alias("body"))
     records, rejected = observations(posted)
-    counts = posted.join(rejected.select("seq", F.lit(1).alias("bad")), "seq", "left").groupBy(F.floor(F.col("seq") / 1_000_000).alias("seq"))
+    counts = posted.join(rejected.select("seq", F.lit(1).alias("bad")), "seq", "left").groupBy(F.shiftright("seq", 26).alias("seq"))
     counts = counts.agg(F.count(F.when(F.col("bad").isNull(), 1)).alias("processed"), F.count("bad").alias("errors"))
     summary = bodies.select("seq").join(counts, "seq", "left").na.fill(0, ["processed", "errors"])
     return records, rejected, summary.withColumn("status", F.when(F.col("errors") > 0, "partial").otherwise("success"))
 
 
+def _vital() -> Column:
+    names = F.create_map(*[F.lit(x) for pair in VITALS.items() for x in pair])
+    told = F.try_element_at("context", F.lit("vital_type"))
+    return F.when(F.col("code").isin(SYSTOLIC, DIASTOLIC), "BloodPressure").otherwise(F.coalesce(F.try_element_at(names, "code"), F.when(told.isin(*VITALS.values()), told)))
+
+
+def unconvertible(records: DataFrame) -> DataFrame:
+    """Records that ``to_resources`` leaves out, with ``error``: keys of fewer than three parts, unknown vital signs."""
+    rows = records.withColumns(key_parts())
+    told = F.try_element_at("context", F.lit("vital_type"))
+    unknown = F.when(told.isNotNull(), F.concat(F.lit("Unknown vital type: "), told)).otherwise(F.concat(F.lit("Unknown vital code: "), F.col("code")))
+    error = F.when(F.size(F.split("metric_name", "[|]")) < 3, F.concat(F.lit("Invalid metric name format: "), F.col("metric_name")))
+    error = F.coalesce(error, F.when((F.col("resource_type") == "VitalSigns") & _vital().isNull(), unknown))
+    return rows.withColumn("error", error).where("error is not null").select(*records.columns, "error")
+
+
 def to_resources(records: DataFrame) -> DataFrame:
     """Records as resources: ``resource_type, subject_id, code, timestamp, body`` (JSON).
 
     Components of one panel and time make one Observation, samples of one time
     one waveform, and a pressure is rebuilt from the systolic row's context.
-    Keys of fewer than three parts are left out. Samples go by ``ingest_seq``
+    What cannot be converted is left out; ``unconvertible`` lists it. Samples go by ``ingest_seq``
     and, where the records have it, ``place``.
     """
     parts = key_parts()
@@ -171,12 +218,11 @@ def to_resources(records: DataFrame) -> DataFrame:
     panel = panel.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("component", quantity.alias("quantity")))).alias("component"))).alias("body"))
     wave = observed.where("component is null and unit = 'sampled'").withColumn("factor", at("factor", "1").cast("double"))
     sample = F.struct(*order, (F.col("value") / F.col("factor")).alias("v"))
-    wave = wave.groupBy("resource_type", "subject_id", "code", "timestamp").agg(F.sort_array(F.collect_list(sample)).alias("s"), F.max("factor").alias("factor"), F.max(at("period_ms", "0")).alias("period"))
+    wave = wave.groupBy("resource_type", "subject_id", "code", "timestamp").agg(F.sort_array(F.collect_list(sample)).alias("s"), F.max("factor").alias("factor"), F.max(at("period_ms", "1000")).alias("period"))
     data = F.array_join(F.transform("s", lambda x: number_text(x["v"])), " ")
     wave = wave.select("resource_type", "subject_id", "code", "timestamp", F.to_json(F.struct(F.struct(F.col("period").cast("double").alias("period"), "factor", data.alias("data")).alias("valueSampledData"))).alias("body"))
     others = rows.where("resource_type != 'Observation' or component is null and unit != 'sampled'")
-    names = F.create_map(*[F.lit(x) for pair in VITALS.items() for x in pair])
-    vital = F.when(F.col("code").isin(SYSTOLIC, DIASTOLIC), "BloodPressure").otherwise(F.coalesce(F.try_element_at(names, "code"), F.try_element_at("context", F.lit("vital_type"))))
+    vital = _vital()
     other_value = F.coalesce(at("bp_diastolic", "0"), F.lit("0")).cast("double")
     body = (
         F.when(F.col("resource_type") == "MedicationAdministration", F.to_json(F.struct(at("medication_display", "Unknown Medication").alias("display"), at("route", "unspecified").alias("route"), at("status", "completed").alias("status"), quantity.alias("dosage"))))

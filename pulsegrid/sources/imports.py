@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .records import CHUNK_SECONDS, chunk_of
+from .records import CHUNK_SECONDS, chunk_of, in_bounds
 
 _ROW = "struct<timestamp:bigint,metric_name:string,value:double,context:map<string,string>,resource_type:string>"
 
@@ -20,9 +20,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     a row in its file, after the rows of series that sort before.
     """
     files = spark.read.text(path, wholetext=True).select(F.from_json("value", f"start_time bigint, records map<string,array<{_ROW}>>").alias("f"))
-    series = files.select("f.start_time", F.explode(F.map_entries("f.records")).alias("series"))
-    rows = series.select("start_time", F.posexplode("series.value").alias("place", "r")).select("r.*", "place", F.col("start_time").alias("chunk_id"))
-    return rows.withColumnRenamed("place", "ingest_seq").withColumn("ingest_seq", F.col("ingest_seq").cast("long"))
+    ordered = F.transform(F.array_sort(F.map_keys("f.records")), lambda name: F.element_at("f.records", name))
+    rows = files.select(F.col("f.start_time").alias("chunk_id"), F.posexplode(F.flatten(ordered)).alias("place", "r"))
+    return rows.select("r.*", F.col("place").cast("long").alias("ingest_seq"), "chunk_id")
 
 
 def log_records(content: bytes) -> list[str]:
@@ -43,3 +43,15 @@ def read_log(spark: SparkSession, path: str, seconds: int = CHUNK_SECONDS) -> Da
     rows = spark.read.format("binaryFile").load(path).select(F.posexplode(split("content")).alias("ingest_seq", "line"))
     rows = rows.select(F.from_json("line", _ROW).alias("r"), F.col("ingest_seq").cast("long").alias("ingest_seq")).select("r.*", "ingest_seq")
     return rows.withColumn("chunk_id", chunk_of("timestamp", seconds))
+
+
+def recover(spark: SparkSession, folder: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """All rows of a data folder: its chunk files, then its log, with ``origin`` (chunk or log).
+
+    Chunk files that cannot be parsed are passed over; a log that ends inside a
+    record is an error. Log rows follow the rows of their chunk in
+    ``ingest_seq``; rows outside of their chunk's bounds are left out.
+    """
+    chunks = read_chunks(spark, f"{folder}/chunks/*.chunk").withColumn("origin", F.lit("chunk"))
+    log = read_log(spark, f"{folder}/wal/*.wal", seconds).withColumns({"ingest_seq": F.col("ingest_seq") + (1 << 40), "origin": F.lit("log")})
+    return chunks.unionByName(log).where(in_bounds("timestamp", seconds))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,11 @@ def accepted(rows: DataFrame, seconds: int = CHUNK_SECONDS) -> tuple[DataFrame,
     return good, bad.withColumn("error", F.when(in_bounds("timestamp", seconds), "Value is not finite").otherwise("Timestamp out of chunk range"))
 
 
+def as_rejected(rows: DataFrame) -> DataFrame:
+    """Rows that ``accepted`` refused as ``seq, body, error``, like rejected bodies."""
+    return rows.select(F.col("ingest_seq").alias("seq"), F.to_json(F.struct("metric_name", "timestamp", "value")).alias("body"), "error")
+
+
 def from_events(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """The ``events`` table as records; series are event types or, if ``fine``, users' event types."""
     events = prepared(spark).read.parquet(f"{sf_dir}/events.parquet")
@@ -71,17 +76,63 @@ def from_events(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFra
     return rows.withColumn("chunk_id", chunk_of("timestamp"))
 
 
-def write(records: DataFrame, path: str, mode: str = "append", seconds: int = CHUNK_SECONDS, rows_per_file: int = 1_000_000) -> None:
-    """Append to a Parquet table partitioned by chunk, sorted by series and time inside a file.
+#: Rows of a batch that ``numbered`` can tell apart; the batch number takes the other 27 bits of ``ingest_seq``.
+BATCH_ROWS = 1 << 36
+
 
-    Rows are dealt by chunk and a salt that follows the row, so that a chunk
-    with many rows is written by several tasks.
+def numbered(rows: DataFrame, batch: int) -> DataFrame:
+    """``rows`` with ``ingest_seq``: the batch and the place in it, dense, in the order of partitions and of rows in them.
+
+    Rows are counted by partition first, so ``rows`` must come out alike twice:
+    from a scan, or from something persisted.
+    """
+    if not 0 <= batch < 1 << 27:
+        raise ValueError(f"not a batch number: {batch}")
+    marked = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    placed = marked.join(F.broadcast(starts), "part")
+    return placed.withColumn("ingest_seq", F.lit(batch).cast("long") * BATCH_ROWS + F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id", "part", "start")
+
+
+def write(records: DataFrame, path: str, mode: str = "append", seconds: int = CHUNK_SECONDS, rows_per_file: int = 1_000_000, batch: int = 0) -> None:
+    """Write to a Parquet table partitioned by chunk, then batch, sorted by series and time inside a file.
+
+    A time range lists and reads only its chunks. With the mode ``overwrite``, a
+    batch replaces what the same batch wrote before and nothing else. Rows are
+    dealt by chunk and a salt that follows the row, so that a chunk with many
+    rows is written by several tasks.
     """
-    rows = records.withColumn("chunk_id", chunk_of("timestamp", seconds))
+    rows = records.withColumns({"chunk_id": chunk_of("timestamp", seconds), "batch": F.lit(batch)})
     dealt = rows.repartition("chunk_id", F.pmod(F.xxhash64("metric_name"), F.lit(8)))
     ordered = dealt.sortWithinPartitions("chunk_id", "metric_name", "timestamp")
-    ordered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("chunk_id").parquet(path)
+    ordered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id", "batch").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return prepared(spark).read.schema(RECORD).parquet(path)
+    return prepared(spark).read.schema(T.StructType([*RECORD.fields, T.StructField("batch", T.IntegerType())])).parquet(path).select(*RECORD.names)
+
+
+def _folders(spark: SparkSession, path: str) -> list:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(files, f.getPath()) for f in files.listStatus(place) if f.isDirectory()] if files.exists(place) else []
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """One more than the greatest batch of a table; 0 for a table that is not there."""
+    if not _folders(spark, path):
+        return 0
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def drop_chunks(spark: SparkSession, path: str, now: int, retention: int) -> list[int]:
+    """Delete the folders of chunks that start before ``now - retention``; returns their starts."""
+    gone = []
+    for files, folder in _folders(spark, path):
+        name, _, start = folder.getName().partition("=")
+        if name == "chunk_id" and start.lstrip("-").isdigit() and int(start) < now - retention:
+            files.delete(folder, True)
+            gone.append(int(start))
+    return sorted(gone)

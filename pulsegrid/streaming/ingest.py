@@ -12,22 +12,19 @@ from ..sources import fhir, records
 def ingest(spark: SparkSession, source: str, table: str, rejected: str, checkpoint: str, resource: str = "Observation", **trigger) -> StreamingQuery:
     """Follow ``source`` (files with a JSON resource per line) into the records table.
 
-    ``ingest_seq`` grows with the batch (20 bits); within a batch it follows a
-    hash of the body (27 bits) and the place in the resource (16 bits). A batch writes under its own folder, so that one that runs again after
-    a failure replaces what it wrote. No watermark: any time is accepted whenever
-    it comes.
+    ``ingest_seq`` is the batch and the place in it: files, lines and parts of a
+    resource in order. A batch that runs again after a failure replaces what it
+    wrote. No watermark: any time is accepted whenever it comes.
     """
     lines = records.prepared(spark).readStream.text(source).where("trim(value) != ''")
 
     def append(batch: DataFrame, number: int) -> None:
-        key = F.pmod(F.xxhash64("value"), F.lit(1 << 27))
-        bodies = batch.select((F.lit(number).cast("long") * (1 << 27) + key).alias("seq"), F.col("value").alias("body"))
-        bodies = bodies.persist()
+        bodies = batch.select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("body")).persist()
         try:
             found, bad = fhir.PARSERS[resource](bodies)
-            good, late = records.accepted(found.withColumn("ingest_seq", F.col("ingest_seq") * (1 << 16) + F.least("place", F.lit((1 << 16) - 1))).drop("place"))
-            records.write(good, f"{table}/batch={number}", mode="overwrite")
-            bad.unionByName(late.select(F.col("ingest_seq").alias("seq"), F.to_json(F.struct("metric_name", "timestamp", "value")).alias("body"), "error")).write.mode("overwrite").json(f"{rejected}/batch={number}")
+            good, late = records.accepted(records.numbered(found.drop("ingest_seq", "place"), number))
+            records.write(good, table, mode="overwrite", batch=number)
+            bad.unionByName(records.as_rejected(late)).write.mode("overwrite").json(f"{rejected}/batch={number}")
         finally:
             bodies.unpersist()
 

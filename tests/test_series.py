@@ -90,7 +90,18 @@ def test_intervals(spark):
         aggregate.aggregate_intervals(made(spark, B=B), 0, "mean")
     assert one(aggregate.aggregate_range(made(spark, x=[(0, float("nan")), (1, 3)]), "max")).value == 3
     chunks = aggregate.time_chunked(made(spark, B=B), 3600).collect()
-    assert [(c.chunk_start, c.n, [r.value for r in c.records]) for c in chunks] == [(0, 4, [10, 7, 8, 9]), (3600, 1, [10])]
+    assert [(c.chunk_start, c.chunk_end, c.value) for c in chunks] == [(0, 3600, 10), (0, 3600, 7), (0, 3600, 8), (0, 3600, 9), (3600, 7200, 10)]
+
+
+def test_percentiles_of_series_with_few_values(spark):
+    """Constant and two-valued series next to a plain one: places come from counts of equal values."""
+    series = {"constant": [(t, 7) for t in range(300)], "two": [(t, t % 3 == 0) for t in range(300)], "plain": [(t, t * 37 % 300) for t in range(300)]}
+    got = {(r.metric_name, r.percentile): r.value for r in analytics.percentiles(made(spark, **series)).collect()}
+    for name, points in series.items():
+        values = sorted(v for _, v in points)
+        assert all(got[name, p] == values[math.floor(p / 100 * 299 + 0.5)] for p in analytics.PERCENTILES)
+    whole = {r.metric_name: r for r in analytics.stats(made(spark, **series), analytics.PERCENTILES).collect()}
+    assert whole["two"].median == 0 and whole["plain"].median == 149.5 and whole["plain"].percentiles["p95"] == got["plain", 95]
 
 
 def test_cusum(spark):
