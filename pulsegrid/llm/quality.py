@@ -1,15 +1,17 @@
 """Quality classification by attention-based multiple-instance learning.
 
 A document is a bag of passages, runs of ``PASSAGE`` words that cover the
-whole text. Each passage is described by shares of character classes and word
-shapes, encoded by one dense layer, and weighted by gated attention
-(tanh x sigmoid) that is softmaxed over the passages of its document. The
-weighted sum of encodings is what the last layer scores. Only documents have
-labels: the attention learns by itself which passages decide.
-
-Fitting takes a bounded sample (``max_docs`` labelled rows by hash of the id,
-of each at most ``max_passages`` evenly spaced passages), in numpy on the
-driver. Scoring covers every passage of every document, in tasks.
+whole text. Each passage is described by its words and byte trigrams, hashed to
+buckets, and by shares of character classes and word shapes, encoded by one
+dense layer, and weighted by gated attention (tanh x sigmoid) that is softmaxed
+over the passages of its document. The weighted sum of encodings is what the
+last layer scores. Only documents have labels: the attention learns by itself
+which passages decide.
+
+Fitting takes a bounded sample of whole documents: labelled rows by hash of the
+id, one of each id, at most ``max_docs`` and as many as have ``max_passages``
+passages together, in numpy on the driver. Scoring covers every passage of every
+document, in tasks.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .storage import Carried, lists, pieces, rebuild, utf8
+from .langid import BITS, trigrams
+from .shingles import words
+from .storage import Carried, cut, lists, pieces, rebuild, utf8
 
 PASSAGE = 64
+SPACES = "[\\x20\\x09-\\x0D]+"
 _CLASSES = 12
 _KIND = np.zeros(256, np.int64)
 for _k, _set in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "!?", "|", "#$%&*@^~+=_", "'\"()-", "<>{}[]/\\`", "\n\r", " \t\v\f"]):
@@ -36,15 +41,24 @@ _KIND[[b for b in range(32) if b not in b"\n\r\t\v\f"]] = 8
 _UPPER = _KIND == 1
 _SIGN = np.isin(_KIND, (4, 5, 6, 8))
 _END = np.isin(np.arange(256), list(b".!?"))
-FEATURES = _CLASSES + 9
+_SHAPES = _CLASSES + 9
+#: Bits of the buckets of words, and of trigrams.
+HASHED = 6
+FEATURES = _SHAPES + 2 * (1 << HASHED)
+
+
+def _shares(owner: np.ndarray, code: np.ndarray, m: int) -> np.ndarray:
+    """Square roots of the shares of each bucket, by passage."""
+    counts = np.bincount((owner << HASHED) + code, minlength=m << HASHED).reshape(m, 1 << HASHED)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features of each passage, offsets by text) of the texts of a piece; every text has a passage."""
     n = len(offsets) - 1
     starts, ends, at = tokens.words(data, offsets)
-    words = np.diff(at)
-    each = np.maximum(1, -(-words // PASSAGE))
+    n_words = np.diff(at)
+    each = np.maximum(1, -(-n_words // PASSAGE))
     first = np.concatenate([[0], np.cumsum(each)])
     doc = np.repeat(np.arange(n), each)
     rank = np.arange(first[-1]) - first[doc]
@@ -73,10 +87,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         out[:, _CLASSES + 4] = total(_SIGN[data[ends - 1]]) / per
         out[:, _CLASSES + 5] = total(_END[data[ends - 1]]) / per
         code = tokens.word_codes(data, starts, ends)
+        out[:, _SHAPES : _SHAPES + (1 << HASHED)] = _shares(own, (code >> np.uint64(64 - HASHED)).astype(np.int64), m)
         distinct = np.unique(tokens.mix(code ^ (own.astype(np.uint64) << np.uint64(40))) & np.uint64(0xFFFFFFFF00000000) | own.astype(np.uint64))
         out[:, _CLASSES + 6] = np.bincount((distinct & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=m) / per
+    code, at = trigrams(data)
+    out[:, _SHAPES + (1 << HASHED) :] = _shares(np.repeat(np.arange(m), sizes)[at], code >> (BITS - HASHED), m)
     out[:, _CLASSES + 7] = np.log1p(count) / 5
-    out[:, _CLASSES + 8] = np.log1p(words[doc]) / 10
+    out[:, _CLASSES + 8] = np.log1p(n_words[doc]) / 10
     return out, first
 
 
@@ -138,16 +155,24 @@ def train(features: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "quality", max_docs: int = 6000, max_passages: int = 64) -> QualityModel:
-    """Learn from at most ``max_docs`` rows of ``docs`` that have a 0 or 1 in ``labels``.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "quality", max_docs: int = 6000, max_passages: int = 60_000) -> QualityModel:
+    """Learn from rows of ``docs`` that have a 0 or 1 in ``labels``: the sample described above.
 
-    Rows with a null id or label are left out. The sample is the rows whose id
-    has the least hash, so that reruns agree.
+    Rows with a null id or label are left out. Of rows with one id the one
+    whose text has the least hash is taken, and of its labels the greatest. The
+    sample is the rows whose id has the least hash, each with all its passages,
+    so that reruns agree.
     """
     known = labels.select(F.col(ident).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y in (0, 1)")
-    ids = docs.select(F.col(ident).alias("id")).join(known, "id").groupBy("id").agg(F.max("y").alias("y"))
-    sample = ids.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("body")).join(F.broadcast(sample), "id").select("id", "y", "body")
+    texts = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("body"))
+    ids = texts.select("id").join(known, "id").groupBy("id").agg(F.max("y").alias("y"))
+    rank = [F.xxhash64("id"), F.col("id")]
+    first = cut(ids.orderBy(*rank).limit(max_docs), "sample")  # one number and label for each of max_docs ids
+    body = F.coalesce("body", F.lit(""))
+    rows = cut(texts.join(F.broadcast(first), "id").groupBy("id", "y").agg(F.min_by(body, F.xxhash64(body)).alias("body")), "sample")
+    n = F.greatest(F.ceil(F.size(words("body", SPACES)) / PASSAGE), F.lit(1))
+    so_far = F.sum("n").over(Window.orderBy(*rank))  # max_docs rows
+    rows = rows.join(F.broadcast(rows.select("id", n.alias("n")).withColumn("n", so_far).where(F.col("n") <= max_passages).select("id")), "id").select("id", "y", "body")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def describe(batches):
@@ -156,9 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
             found = []
             for i, j in pieces(offsets):
                 x, first = passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    take = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).round().astype(np.int64))
-                    found.append(x[take].ravel())
+                found += [x[a:b].ravel() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], names=schema.names)
 
     got = rows.mapInArrow(describe, schema).orderBy("id").toArrow().combine_chunks()

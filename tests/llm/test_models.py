@@ -59,10 +59,37 @@ def test_language_of_awkward_rows(spark, awkward, small):
 
 
 def test_mixed_text_is_ambiguous(spark, small):
+    """German with more and more French behind it: the ends are sure, and where the prediction turns it is not."""
     model = langid.fit(small)
-    a, b = (small.where(F.col("lang") == x).where("n_chars > 900").first().text[:900] for x in ("de", "fr"))
-    half = spark.createDataFrame([(a,), (b,)], "text string")
-    assert [r.ambiguous for r in langid.identify(half, model).collect()] == [False, False]
+    a, b = (" ".join(small.where(F.col("lang") == x).where("n_chars > 900").first().text.split(" ")[:100]) for x in ("de", "fr"))
+    texts = [f"{a[: len(a) // 2]} {b[:k]}" for k in range(len(b))]
+    rows = sorted(langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect(), key=lambda r: r.doc_id)
+    assert [(rows[k].lang_pred, rows[k].ambiguous) for k in (0, -1)] == [("de", False), ("fr", False)]
+    turn = next(i for i, r in enumerate(rows) if r.lang_pred != "de")
+    unsure = [i for i, r in enumerate(rows) if r.ambiguous]
+    assert unsure and all(abs(i - turn) < 60 for i in unsure)
+
+
+def test_decoding_against_its_definition(spark, small):
+    """Every trigram of a text looked up and every codeword weighed in plain loops; ties go to the first label."""
+    model = langid.fit(small)
+    texts = [r.text for r in small.limit(40).collect()] + ["x", "zz top", "É", "12 a 34"]
+    for text in texts:
+        codes, _ = langid.trigrams(np.frombuffer(b" " + text.encode() + b" ", np.uint8))
+        total = [sum(float(model.weights[c, bit]) for c in codes) for bit in range(model.code.shape[1])]
+        n = len(codes)
+        losses = []
+        for word in model.code:
+            losses.append(sum(t * math.log1p(math.exp(-(s / n * min(n, 24) / 2) * w)) for t, s, w in zip(model.trust, total, word)))
+        best, score, lead = model.decode(np.array([total]), np.array([n]))
+        ranked = sorted(losses)
+        assert losses[best[0]] == ranked[0] and math.isclose(score[0], 1 / sum(math.exp(ranked[0] - x) for x in losses), rel_tol=1e-6)
+        assert math.isclose(lead[0], ranked[1] - ranked[0], rel_tol=1e-6, abs_tol=1e-9)
+        row = langid.identify(spark.createDataFrame([(text,)], "text string"), model).first() if len(text) < 10 else None
+        assert row is None or (row.lang_pred == model.labels[best[0]] and math.isclose(row.lang_score, score[0], rel_tol=1e-4))
+    tied = langid.LanguageModel(list("ba"), langid.codewords(2), np.zeros((1 << langid.BITS, 1)), np.ones(1))
+    row = langid.identify(spark.createDataFrame([("some text",)], "text string"), tied).first()
+    assert (row.lang_pred, row.lang_score, row.ambiguous) == ("b", 0.5, True)
 
 
 def auc(y, s):
@@ -98,6 +125,36 @@ def test_gradients_by_finite_differences():
         assert math.isclose((around[0] - around[1]) / 2e-5, np.asarray(grad)[at], rel_tol=1e-3, abs_tol=1e-7), name
 
 
+def test_scores_against_their_definition():
+    """Gated attention in plain loops; repeated passages and equal documents score alike."""
+    rng = np.random.default_rng(4)
+    x, first = rng.normal(size=(12, quality.FEATURES)), np.array([0, 1, 4, 8, 12])
+    x[8:] = x[4:8]
+    model = quality.train(x, first, np.array([1.0, 0, 1, 0]), steps=5)
+    p, expected = model.p, []
+    for a, b in zip(first, first[1:]):
+        hidden = [np.tanh(((row - model.mean) / model.scale) @ p["e"] + p["e0"]) for row in x[a:b]]
+        weight = [math.exp(sum(math.tanh(h @ p["v"][:, k]) / (1 + math.exp(-(h @ p["u"][:, k]))) * p["w"][k] for k in range(len(p["w"])))) for h in hidden]
+        z = sum(w / sum(weight) * h for w, h in zip(weight, hidden))
+        expected.append(1 / (1 + math.exp(-(z @ p["c"] + p["b"]))))
+    got = model.score(x, first)
+    assert np.allclose(got, expected) and got[2] == got[3]
+
+
+def test_the_sample_is_of_whole_documents(spark, small):
+    """Bounded by passages together, not within a document; one row of each id."""
+    long = spark.createDataFrame([(5, "word " * 9000), (5, "other " * 9000), (6, "a b c"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 0), (7, 1)], "doc_id long, quality int")
+    seen = []
+    original, quality.train = quality.train, lambda x, first, y: seen.append((np.diff(first).tolist(), y.tolist())) or original(x, first, y)
+    try:
+        quality.fit(long, labels)
+        quality.fit(long, labels, max_passages=3)
+    finally:
+        quality.train = original
+    assert seen == [([141, 1, 1], [1, 0, 1]), ([1], [0])] or seen[0] == ([141, 1, 1], [1, 0, 1]) and 141 not in seen[1][0]
+
+
 def test_attention_finds_the_deciding_passage():
     """One odd passage among many decides the label; its weight is learned from documents' labels alone."""
     rng = np.random.default_rng(1)
