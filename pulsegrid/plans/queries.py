@@ -448,7 +448,7 @@ def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.when(F.col("event_id") % 5 != 0, _quantity(v, "mg"))
     resource = F.struct(F.when(F.col("event_id") % 7 == 0, "Patient").otherwise("Observation").alias("resourceType"), *_common("8867-4"), quantity.alias("valueQuantity"))
     entry = F.struct("event_id", F.struct(resource.alias("resource"), F.struct(F.lit("POST").alias("method"), F.lit("Observation").alias("url")).alias("request")).alias("entry"))
-    grouped = _events(spark, sf_dir, "click").groupBy("user_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: a["event_id"] - b["event_id"])["entry"].alias("entry"))
+    grouped = _events(spark, sf_dir, "click").groupBy("user_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.signum(a["event_id"] - b["event_id"]).cast("int"))["entry"].alias("entry"))
     return grouped.select(F.col("user_id").cast("long").alias("seq"), F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("batch").alias("type"), "entry")).alias("body"))
 
 
@@ -490,11 +490,11 @@ def _(r):
 
 QUERIES |= {"fhir_sampled": fhir_sampled, "fhir_bundle": fhir_bundle, "fhir_bundle_summary": fhir_bundle_summary, "fhir_pressure": fhir_pressure, "pressure_pairs": pressure_pairs, "fhir_back": fhir_back}
 _EVENT_SQL = "WITH e AS (SELECT epoch_us(ts) // 1000000 AS timestamp, CAST(event_id AS BIGINT) AS event_id, user_id, round(CAST(value AS DOUBLE), 2) AS v, event_id % 50 + 100 AS high, event_id % 40 + 50 AS low FROM events WHERE event_type = '{kind}')"
-_ENTRY_SQL = _EVENT_SQL.format(kind="click") + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at FROM e)"
+_ENTRY_SQL = _EVENT_SQL.format(kind="click") + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth FROM e)"
 _PRESSURE_SQL = _EVENT_SQL.format(kind="purchase")
 ORACLES |= {
     "fhir_sampled": _EVENT_SQL.format(kind="view") + " SELECT timestamp + i * 600 // 1000 AS timestamp, user_id || '|11524-6|sampled' AS metric_name, CAST((event_id % 100 + i) * 2 AS DOUBLE) AS value, 'Observation' AS resource_type, event_id AS ingest_seq, CAST(i AS INTEGER) AS place, '600' AS period_ms FROM e, (SELECT unnest([0, 1, 2]) AS i)",
-    "fhir_bundle": _ENTRY_SQL + " SELECT timestamp, user_id || '|8867-4|mg' AS metric_name, v AS value, 'Observation' AS resource_type, CAST(user_id * 67108864 + at AS BIGINT) AS ingest_seq, 0 AS place FROM n WHERE event_id % 7 != 0 AND event_id % 5 != 0",
+    "fhir_bundle": _ENTRY_SQL + " SELECT timestamp, user_id || '|8867-4|mg' AS metric_name, v AS value, 'Observation' AS resource_type, CAST(user_id * 67108864 + nth AS BIGINT) AS ingest_seq, 0 AS place FROM n WHERE event_id % 7 != 0 AND event_id % 5 != 0",
     "fhir_bundle_summary": _ENTRY_SQL + " SELECT CAST(user_id AS BIGINT) AS seq, count(*) FILTER (event_id % 7 != 0 AND event_id % 5 != 0) AS processed, count(*) FILTER (event_id % 7 != 0 AND event_id % 5 = 0) AS errors, CASE WHEN errors > 0 THEN 'partial' ELSE 'success' END AS status FROM n GROUP BY user_id",
     "fhir_pressure": _PRESSURE_SQL + " SELECT timestamp, user_id || '|8480-6|mmHg' AS metric_name, CAST(high AS DOUBLE) AS value, 'VitalSigns' AS resource_type, event_id AS ingest_seq, 0 AS place, CAST(low AS VARCHAR) AS bp_diastolic, NULL AS bp_systolic FROM e UNION ALL SELECT timestamp, user_id || '|8462-4|mmHg', CAST(low AS DOUBLE), 'VitalSigns', event_id, 1, NULL, CAST(high AS VARCHAR) FROM e",
     "pressure_pairs": _PRESSURE_SQL + " SELECT user_id || '|8480-6|mmHg' AS metric_name, timestamp, high || '/' || low AS pressure FROM e",
