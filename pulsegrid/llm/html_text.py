@@ -9,10 +9,11 @@ Of that text, differencing decides. Pages of a host stand in order of URL path,
 equal texts once; each is paired with the two before and the two after it, and
 the lines of a pair are aligned by longest common subsequence. A line that the
 page shares with two of them or more, and with more than half, is template and
-is deleted, wherever it stands; a line that it shares with one is a quotation. A
-page of a host with two texts meets one other, and loses what it shares with it
-only outside of main elements. No page loses more than half of its characters:
-pages that share more are copies of each other.
+is deleted; a line that it shares with one is a quotation. Inside a main element,
+where sentences recur by chance, it takes all of them, and three or four. A page
+of a host with two texts meets one other, and loses what it shares with it only
+outside of main elements. No page loses more than half of its characters: pages
+that share more are copies of each other.
 
 Pages are parsed once, into a table; only line hashes meet their neighbours.
 """
@@ -232,7 +233,10 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def template_lines(sizes: np.ndarray, main: bool, shared: list[np.ndarray]) -> np.ndarray:
     """The lines of a page that are template: of each page it met, ``shared`` has the lines it has in common."""
-    least = max(2, len(shared) // 2 + 1) if main or len(shared) > 1 else 1
+    if main:
+        least = max(3, len(shared))
+    else:
+        least = max(2, len(shared) // 2 + 1) if len(shared) > 1 else 1
     lost = np.flatnonzero(np.bincount(np.concatenate(shared), minlength=len(sizes)) >= least)
     return lost if 2 * sizes[lost].sum() <= sizes.sum() else lost[:0]
 
