@@ -317,68 +317,107 @@ def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
     return shingled(rows, "body", shingle, "hashes").select("node", "hashes").mapInArrow(run, schema)
 
 
-def _candidates(rows: DataFrame, wide: int, small: int = 9) -> DataFrame:
-    """``a, b, more``: of ``shard, component, node``, pairs of different components in one shard.
+#: In shards of at most so many nodes all pairs meet at once.
+SMALL = 9
 
-    A node meets at most ``wide`` of those that follow, in shards of ``small``
-    nodes all; ``more`` says that there are others.
+
+def _candidates(shards: DataFrame, small: int = SMALL) -> DataFrame:
+    """``a, b``: of ``shard, node``, all pairs in shards of at most ``small`` nodes, and each node with the next in larger ones."""
+    def search(shard: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.diff(shard)) + 1
+        sizes = np.diff([0, *edge.tolist(), len(shard)])
+        left = np.repeat(np.append(edge, len(shard)), sizes) - np.arange(len(shard)) - 1
+        most = np.minimum(left, np.where(np.repeat(sizes, sizes) <= small, small, 1))
+        at = np.repeat(np.arange(len(shard)), most)
+        x, y = node[at], node[at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    ordered = shards.select("shard", "node").repartition("shard").sortWithinPartitions("shard", "node")
+    # A shard that comes in parts lacks a few neighbours; its blocks meet later.
+    return ordered.mapInArrow(lambda batches: _groups(batches, 1, search, 1 << 16, search), _EDGE).distinct()
+
+
+def _blocks(open_: DataFrame, sets: DataFrame, least: float, size: int) -> DataFrame:
+    """``a, b``: links between components in shards ``shard, component, node``.
+
+    Shards are dealt out in blocks of about ``size`` nodes, every two blocks of
+    a shard as a group of its own, and sets are compared where they meet: no
+    pair of nodes becomes a row. Nodes that share several shards are compared
+    in the first of them.
     """
-    schema = T.StructType([*_EDGE.fields, T.StructField("more", T.BooleanType())])
-
-    def search(shard: np.ndarray, component: np.ndarray, node: np.ndarray):
-        n = len(shard)
-        fresh_shard = np.append(True, np.diff(shard) != 0)
-        fresh = fresh_shard | np.append(True, np.diff(component) != 0)
-        ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], n), np.diff(np.append(np.flatnonzero(first), n)))
-        own, own_end, end = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)), ends(fresh), ends(fresh_shard)
-        begin = np.maximum.accumulate(np.where(fresh_shard, np.arange(n), 0))
-        others = end - own_end
-        most = np.minimum(others, np.where(end - begin <= small, small, wide))
-        at = np.repeat(np.arange(n), most)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)
-        # Nodes of one component begin at different places, so that none is met by all.
-        to = own_end[at] + (at - own[at] + step) % others[at]
-        x, y = node[at], node[to]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((others > most)[at])], names=schema.names)
-
-    ordered = rows.select("shard", "component", "node").repartition("shard").sortWithinPartitions("shard", "component", "node")
-    return ordered.mapInArrow(lambda batches: _groups(batches, 1, search), schema).groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def similar(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    blocks = cut(open_.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = joined(open_, blocks, ["shard"], "inner").select("shard", "component", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("shard", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "component", "node")
+    met = met.join(sets, "node").select("shard", "x", "y", "side", "component", "node", "bands", "shingles")
+    met = met.repartition("shard", "x", "y").sortWithinPartitions("shard", "x", "y", "side", "node")
+
+    def compare(shard, x, y, side, component, node, bands, shingles) -> list[tuple[int, int]]:
+        _, root = np.unique(component, return_inverse=True)
+        if root.max() == 0:
+            return []
+        keys, sizes = np.stack(bands), np.array([len(s) for s in shingles])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        _, ids = np.unique(np.concatenate(shingles), return_inverse=True)
+        rank = (keys == shard[0]).argmax(axis=1)
+        seen, out = np.zeros(ids.max() + 1, bool), []
+        same = x[0] == y[0]
+        right = np.arange(len(node)) if same else np.flatnonzero(side == 1)
+        for i in range(len(node)) if same else np.flatnonzero(side == 0).tolist():
+            b = rank[i]
+            to = right[(root[right] != root[i]) & (np.minimum(sizes[right], sizes[i]) >= least * np.maximum(sizes[right], sizes[i]))]
+            to = to[(to > i) & ~(keys[to, :b] == keys[i, :b]).any(axis=1)]
+            if not len(to):
+                continue
+            seen[ids[at[i] : at[i + 1]]] = True
+            hit = np.concatenate([[0], np.cumsum(seen[np.concatenate([ids[at[j] : at[j + 1]] for j in to.tolist()])])])
+            ends = np.cumsum(sizes[to])
+            shared = hit[ends] - hit[ends - sizes[to]]
+            seen[ids[at[i] : at[i + 1]]] = False
+            for j in to[shared / (sizes[i] + sizes[to] - shared) >= least].tolist():
+                if root[i] != root[j]:
+                    out.append((int(node[i]), int(node[j])))
+                    root[root == root[j]] = root[i]
+        return out
+
+    def search(*columns: np.ndarray) -> pa.RecordBatch:
+        shard, x, y = columns[:3]
+        edge = np.flatnonzero((shard[1:] != shard[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        found = [pair for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(shard)]) for pair in compare(*[c[i:j] for c in columns])]
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(lambda batches: _groups(batches, 3, search), _EDGE)
+
+
+def similar(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, least: float = 0.8, block: int = 256) -> DataFrame:
     """``doc_id``, ``key`` and ``root`` of each row: rows of one root are linked by similar texts.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is
     ``least`` or more. The forest has a tree for each band of minima: its
     metric counts the minima of the band that differ, and its radius is 0. At
     similarity 0.8 SimHashes differ in up to 17 of 64 bits, a radius that
-    prunes nothing. What meets in a shard is confirmed by exact sets. Nodes of
-    a large shard meet few others first, and what is then still in different
-    components meets more, until all pairs of different components have met.
-    ``key`` is a hash of all values of a row. Texts without words are alike.
+    prunes nothing. What meets in a shard is confirmed by exact sets: neighbours
+    and small shards first, and shards that then still hold different
+    components block by block. ``key`` is a hash of all values of a row. Texts
+    without words are alike.
     """
     carried = Carried(docs, text)
-    rows = carried.df.select(F.col(carried.at(ident) if ident != text else "body").alias("doc_id"), F.xxhash64(*carried.order).alias("key"), "body")
+    rows = carried.df.select(F.col(carried.at(ident) if ident != text else "body").alias("doc_id"), carried.row_key().alias("key"), "body")
     marked = cut(_marked(rows, shingle), "minima")
-    nodes = marked.groupBy("node").agg(F.min("key").alias("key"))
+    nodes = marked.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
     shards = marked.select("node", F.explode("bands").alias("shard")).distinct()
     several = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
     shards = cut(shards.join(several, "shard", "left_semi"), "shards")
-    wanted = cut(nodes.join(shards.select("node").distinct(), "node", "left_semi").select("node", "key"), "wanted")
-    texts = joined(rows.select("key", "body"), wanted, ["key"], "inner").select("node", "body")
+    wanted = cut(nodes.join(shards.select("node").distinct(), "node", "left_semi").select("node", "key", "bands"), "wanted")
+    texts = joined(rows.select("key", "body"), wanted.select("node", "key"), ["key"], "inner").select("node", "body")
     sets = cut(_shingled(texts, shingle).dropDuplicates(["node"]), "sets")
-    found, now, wide, more = None, shards.select("shard", F.col("node").alias("component"), "node"), 1, True
-    while more:
-        pairs = cut(_candidates(now, wide), "pairs")
-        more = bool(pairs.agg(F.max("more")).first()[0])
-        both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), shared.alias("shared"))
-        linked = cut(both.where((F.col("shared") / (F.col("n") - F.col("shared"))) >= least).select("a", "b"), "links")
-        found = linked if found is None else found.union(linked)
-        component = components(found)
-        if more:
-            named = shards.join(component, "node", "left").select("shard", F.coalesce("component", "node").alias("component"), "node")
-            open_ = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            now, wide = cut(named.join(open_.select("shard"), "shard", "left_semi"), "open"), 16 * wide
-    return marked.join(component, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
+    pairs = _candidates(shards)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    found = cut(both.where((F.col("shared") / (F.col("n") - F.col("shared"))) >= least).select("a", "b"), "links")
+    named = shards.join(components(found), "node", "left").select("shard", F.coalesce("component", "node").alias("component"), "node")
+    open_ = named.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > SMALL))
+    open_ = cut(named.join(open_.select("shard"), "shard", "left_semi"), "open")
+    if not open_.isEmpty():
+        found = found.union(cut(_blocks(open_, sets.join(wanted.select("node", "bands"), "node"), least, block), "links"))
+    return marked.join(components(found), "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))

@@ -194,6 +194,26 @@ def test_repeats_in_small_alphabets(spark, seed):
     assert got == [(i, *x) for i, x in enumerate(brute_bytes(texts, 24))]
 
 
+def test_repeated_bytes_of_a_whole_table(spark):
+    """Every 400-byte string of sf0.01 against a count of all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    seen, again = set(), set()
+    for _, d in rows:
+        for i in range(len(d) - 399):
+            h = hash(d[i : i + 400])
+            (again if h in seen else seen).add(h)
+    expected = {}
+    for doc, d in rows:
+        gone, end = 0, 0
+        for i in range(len(d) - 399):
+            if hash(d[i : i + 400]) in again:
+                gone, end = gone + i + 400 - max(end, i), i + 400
+        expected[doc] = (len(d), gone)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeated_bytes(docs, keep=["doc_id"]).collect()}
+    assert got == expected and sum(n > 0 for _, n in got.values()) > 100
+
+
 def test_cut_hashes_match(small):
     rows = small.collect()
     got = {r.doc_id: hashlib.sha256(r.kept_text.encode()).hexdigest() for r in substring_dedup.remove_repeated(small, keep=["doc_id"]).collect()}
