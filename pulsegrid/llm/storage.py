@@ -78,6 +78,17 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int
     return left.join(F.broadcast(right) if size <= most else right, on, how)
 
 
+#: Rows of a batch that goes to Python. Texts of a few KB make batches of a few MB, of which a worker holds several copies.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_ROWS`` unless the session has a number of its own; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Carried:
     """A DataFrame under positional column names, so that no name can clash.
 
@@ -88,6 +99,7 @@ class Carried:
     """
 
     def __init__(self, df: DataFrame, text: str | None = None, keep: list[str] | None = None):
+        small_batches(df.sparkSession)
         lower = [n.lower() for n in df.columns]
         plain = df.toDF(*[f"i{i}" for i in range(len(lower))])
         wanted = range(len(lower)) if keep is None else [lower.index(n.lower()) for n in keep]
