@@ -319,7 +319,18 @@ def _(r):
     return _rounded(multivariate.mahalanobis(multivariate.bucket_means(r), ["click", "error", "view"]))
 
 
-@_query("correlated_groups")
+_GROUPS_SQL = _HOURLY_SQL + """, c AS (SELECT a.metric_name AS one, b.metric_name AS other, CASE WHEN count(*) < 3 OR stddev_pop(a.v) * stddev_pop(b.v) = 0 THEN 0 ELSE covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS r FROM h a JOIN h b ON a.ts = b.ts AND a.metric_name != b.metric_name GROUP BY 1, 2),
+seeds AS (SELECT one, list_sort(list(other)) AS others, row_number() OVER (ORDER BY one) AS k FROM c WHERE abs(r) >= 0.02 GROUP BY one),
+walk AS (WITH RECURSIVE w AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS members
+  UNION ALL SELECT k, list_concat(taken, members), members FROM (
+    SELECT s.k, w.taken, CASE WHEN list_contains(w.taken, s.one) THEN CAST([] AS VARCHAR[]) ELSE list_concat([s.one], list_filter(s.others, lambda x: NOT list_contains(w.taken, x))) END AS members FROM w JOIN seeds s ON s.k = w.k + 1))
+  SELECT * FROM w),
+named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS group_id, members FROM walk WHERE len(members) > 1)
+SELECT group_id, unnest(members) AS metric_name FROM named"""
+
+
+@_query("correlated_groups", _GROUPS_SQL)
 def _(r):
     """Groups of series correlated over 0.02 by the hour: far below the default, so that these independent series have some."""
     groups = multivariate.correlated_groups(multivariate.bucket_means(r), 0.02)
