@@ -61,11 +61,13 @@ def post(bodies: DataFrame, path: str, resource: str = "Bundle", batch: int | No
 
     Rejected are bodies, and single records whose value is not finite or whose
     time is outside of its chunk. Records go by ``seq``, entry and place. The
-    number of the batch is the table's next, unless given: a batch that is
-    posted again then replaces itself.
+    number of the batch is the table's next odd one, unless given: a batch that
+    is posted again then replaces itself. Even ones are a stream's.
     """
     spark = bodies.sparkSession
-    number = records.next_batch(spark, path) if batch is None else batch
+    number = records.next_batch(spark, path) | 1 if batch is None else batch
+    if number % 2 == 0:
+        raise ValueError(f"an even number is a stream's: {number}")
     ordered = bodies.orderBy("seq").persist()
     try:
         found, rejected = fhir.bundles(ordered)[:2] if resource == "Bundle" else fhir.PARSERS[resource](ordered)

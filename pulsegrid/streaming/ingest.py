@@ -14,7 +14,8 @@ def ingest(spark: SparkSession, source: str, table: str, rejected: str, checkpoi
 
     ``ingest_seq`` is the batch and the place in it: files, lines and parts of a
     resource in order. A batch that runs again after a failure replaces what it
-    wrote. No watermark: any time is accepted whenever it comes.
+    wrote; its number in the table is twice its own, so that it never meets a
+    posted one. A table takes one stream. No watermark: any time is accepted whenever it comes.
     """
     lines = records.prepared(spark).readStream.text(source).where("trim(value) != ''")
 
@@ -22,8 +23,8 @@ def ingest(spark: SparkSession, source: str, table: str, rejected: str, checkpoi
         bodies = batch.select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("body")).persist()
         try:
             found, bad = fhir.PARSERS[resource](bodies)
-            good, late = records.accepted(records.numbered(found.drop("ingest_seq", "place"), number))
-            records.write(good, table, mode="overwrite", batch=number)
+            good, late = records.accepted(records.numbered(found.drop("ingest_seq", "place"), 2 * number))
+            records.write(good, table, mode="overwrite", batch=2 * number)
             bad.unionByName(records.as_rejected(late)).write.mode("overwrite").json(f"{rejected}/batch={number}")
         finally:
             bodies.unpersist()

@@ -36,8 +36,10 @@ def test_post(spark, tmp_path):
     single = spark.createDataFrame([(2, json.dumps(observation(valueQuantity=quantity(5))))], "seq long, body string")
     assert api.post(single, str(tmp_path / "t"), "Observation").count() == 0
     rows = records.load(spark, str(tmp_path / "t")).orderBy("ingest_seq").collect()
-    assert [r.value for r in rows] == [120, 80, 5] and [r.ingest_seq for r in rows] == [0, 1, records.BATCH_ROWS]
-    api.post(single, str(tmp_path / "t"), "Observation", batch=1)
+    assert [r.value for r in rows] == [120, 80, 5] and [r.ingest_seq for r in rows] == [records.BATCH_ROWS, records.BATCH_ROWS + 1, 3 * records.BATCH_ROWS]
+    api.post(single, str(tmp_path / "t"), "Observation", batch=3)
+    with pytest.raises(ValueError):
+        api.post(single, str(tmp_path / "t"), "Observation", batch=2)
     assert records.load(spark, str(tmp_path / "t")).count() == 3
 
 
@@ -59,5 +61,8 @@ def test_posts_and_streams_share_a_table(spark, tmp_path):
     api.post(single, str(tmp_path / "t"), "Observation")
     table = records.load(spark, str(tmp_path / "t"))
     assert table.count() == table.select("ingest_seq").distinct().count() == 140_001
+    (tmp_path / "in" / "b.json").write_text(json.dumps(observation(valueQuantity=quantity(6))))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "bad"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.value for r in records.load(spark, str(tmp_path / "t")).where("metric_name NOT LIKE '%sampled'").collect()) == [5, 6]
     waves = [r.value for r in table.where("metric_name LIKE '%sampled'").orderBy("ingest_seq").collect()]
     assert waves == [*range(70_000)] * 2
