@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 ORDER = ["timestamp", "chunk_id", "ingest_seq"]
 SERIES = "metric_name"
+#: Values of a series that its ranges are drawn from, at most.
+SAMPLE = 4096
 
 
 def with_previous(records: DataFrame, take: list[str], out: str = "previous") -> DataFrame:
@@ -38,11 +40,16 @@ def value_places(records: DataFrame, value: str = "value") -> DataFrame:
 
     Equal values are counted before anything is ordered, so a series of one or
     two values is as spread as any. Distinct values fall into ranges between
-    approximate percentiles of their series.
+    percentiles of a sample of their series: of each of ``SAMPLE`` classes of
+    hashes the value of the least. The ranges are needed twice, and unlike
+    approximate percentiles they do not depend on the order in which rows arrive.
     """
     rows = records.groupBy(SERIES, value).agg(F.count(F.lit(1)).alias("c"))
-    steps = F.array(*[F.lit(i / 100) for i in range(1, 100)])
-    cuts = rows.groupBy(SERIES).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("cuts"), F.sum("c").alias("n"))
+    drawn = F.struct(F.xxhash64(value).alias("hash"), F.col(value).alias("value"))
+    sample = rows.groupBy(SERIES, F.pmod(drawn["hash"], F.lit(SAMPLE)).alias("class")).agg(F.min(drawn)["value"].alias("drawn"), F.sum("c").alias("c"))
+    sample = sample.groupBy(SERIES).agg(F.sort_array(F.collect_list("drawn")).alias("drawn"), F.sum("c").alias("n"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: F.get("drawn", F.floor(i * F.size("drawn") / 100).cast("int")))
+    cuts = sample.select(SERIES, steps.alias("cuts"), "n")
     rows = rows.join(cuts, SERIES).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     counts = rows.groupBy(SERIES, "part").agg(F.sum("c").alias("all"))
     before = Window.partitionBy(SERIES).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

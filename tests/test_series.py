@@ -1,8 +1,11 @@
 """Golden values of small series, worked out by hand, and brute-force twins."""
 
 import math
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,22 @@ def test_percentiles_of_series_with_few_values(spark):
     assert whole["two"].median == 0 and whole["plain"].median == 149.5 and whole["plain"].percentiles["p95"] == got["plain", 95]
 
 
+def test_places_of_rows_that_arrive_in_another_order_each_time(spark):
+    """Places are put together from two passes over the rows, whose order no shuffle promises."""
+
+    def dealt(batches):
+        for batch in batches:
+            order = np.random.default_rng(int.from_bytes(os.urandom(4))).permutation(batch.num_rows)
+            yield batch.take(pa.array(order))
+
+    rows = spark.range(0, 120_000, 1, 8).select(F.lit("x").alias("metric_name"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000).alias("value"))
+    values = sorted(r.value for r in rows.collect())
+    rows = rows.mapInArrow(dealt, rows.schema)
+    found = {r.percentile: r.value for r in analytics.percentiles(rows).collect()}
+    assert found == {p: values[math.floor(p / 100 * 119_999 + 0.5)] for p in analytics.PERCENTILES}
+    assert one(analytics.stats(rows)).median == (values[59_999] + values[60_000]) / 2
+
+
 def test_cusum(spark):
     rows = sorted(changepoints.cusum(made(spark, D=D), 2.0).collect(), key=lambda r: r["index"])
     assert [r["index"] for r in rows] == [4, 9, 14, 19]
