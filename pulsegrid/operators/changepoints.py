@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,26 +54,48 @@ def cusum(records: DataFrame, threshold: float = 2.0, min_points: int = 10) -> D
     return rows.mapInArrow(run, _CUSUM)
 
 
-def best_partition(values: np.ndarray, penalty: float, least: int = 5) -> list[int]:
+@np.errstate(divide="ignore")
+def best_partition(values: np.ndarray, penalty: float, least: int = 5, sweep: int = 16) -> list[int]:
     """Starts of the segments after the first, of least total cost.
 
     A segment costs half its length times the log of its sample variance, and a
     penalty; of equal costs the later start wins.
+
+    Starts that cannot win any more are dropped, which changes no result. With
+    the variance over all ``n`` points, a cut never raises the cost of a
+    segment; the divisor ``n - 1`` adds ``n * log(n / (n - 1)) / 2``, which falls
+    from its value at ``least`` to 1/2, so a cut raises it by ``slack`` at most. A
+    start that is worse than the best at ``end`` by more than that loses to
+    ``end`` itself from ``end + least`` on. Behind a cost of minus infinity (equal values)
+    all costs are that, and the later start wins. Variances are updated point by
+    point, so that those of equal values are zero.
     """
     n = len(values)
-    sums, squares = np.concatenate([[0.0], np.cumsum(values)]), np.concatenate([[0.0], np.cumsum(values**2)])
-    cost, come = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-    cost[0] = 0.0
-    for end in range(least, n + 1):
-        start = np.concatenate([[0], np.arange(least, end - least + 1)])
-        start = start[end - start >= least]
-        size = end - start
-        part = sums[end] - sums[start]
-        variance = np.maximum(squares[end] - squares[start] - part**2 / size, 0.0) / (size - 1)
-        with np.errstate(divide="ignore"):
-            total = cost[start] + size * np.log(variance) / 2 + penalty
-        best = len(total) - 1 - int(np.argmin(total[::-1]))
-        cost[end], come[end] = total[best], start[best]
+    slack = least * np.log(least / (least - 1)) - 0.5 + 1e-3  # the last term is for rounding
+    come, gone = np.zeros(n + 1, np.int64), n + 1
+    state = np.zeros((4, 256))  # of each start: cost up to it, mean and squares since, end from which it is dropped
+    start = np.zeros(256, np.int64)
+    state[3, 0], m = gone, 1
+    for end in range(1, n + 1):
+        v, size = values[end - 1], end - start[:m]
+        cost, mean, squares, until = state[:, :m]
+        off = v - mean
+        mean += off / size
+        squares += off * (v - mean)
+        if end < least:
+            continue
+        k = int(np.searchsorted(start[:m], end - least, "right"))
+        size = size[:k]
+        total = cost[:k] + size * np.log(squares[:k] / (size - 1)) / 2
+        best = k - 1 - int(total[::-1].argmin())
+        lowest, come[end] = total[best] + penalty, start[best]
+        np.minimum(until[:k], np.where(total > lowest + slack, end + least, gone) if lowest > -np.inf else end + least, out=until[:k])
+        if m == len(start) or end % sweep == 0:
+            kept = np.flatnonzero(until > end)
+            start[: len(kept)], state[:, : len(kept)], m = start[kept], state[:, kept], len(kept)
+            if 2 * m > len(start):
+                start, state = np.concatenate([start, np.zeros_like(start)]), np.concatenate([state, np.zeros_like(state)], axis=1)
+        start[m], state[:, m], m = end, (lowest, 0.0, 0.0, gone), m + 1
     found, at = [], n
     while at > 0 and come[at] > 0:
         at = int(come[at])
@@ -82,23 +106,49 @@ def best_partition(values: np.ndarray, penalty: float, least: int = 5) -> list[i
 def optimal_partition(records: DataFrame, threshold: float = 2.0, penalty: float = 1.0, min_points: int = 20, least: int = 5) -> DataFrame:
     """Changes between segments of least total cost whose means differ by over ``threshold`` sample deviations.
 
-    The search looks at all starts of the last segment, so its time grows with
-    the square of a series' length, and a series is held in one task; cut long
-    series by time first.
+    A series passes once through one task in order of time, as three numbers a
+    row. The search keeps the starts that can still win, see ``best_partition``:
+    their number follows the length of segments, not that of the series.
     """
+    rows = records.select(SERIES, "value", *ORDER).repartition(SERIES).sortWithinPartitions(SERIES, *ORDER).select(SERIES, "timestamp", "value")
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ORDER)
-        v = rows["value"].to_numpy()
+    def changes(series: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        ts, v = map(np.concatenate, zip(*parts))
         sd = v.std(ddof=1) if len(v) >= min_points else 0.0
         out = []
         if sd > 0:
-            starts = best_partition(v, penalty, least)
-            for k, at in enumerate(starts):
-                before = v[starts[k - 1] if k else 0 : at].mean()
-                after = v[at : starts[k + 1] if k + 1 < len(starts) else len(v)].mean()
+            edges = [0, *best_partition(v, penalty, least), len(v)]
+            means = [v[i:j].mean() for i, j in zip(edges, edges[1:])]
+            for at, before, after in zip(edges[1:-1], means, means[1:]):
                 if abs(after - before) > threshold * sd:
-                    out.append((rows[SERIES].iloc[0], at, int(rows["timestamp"].iloc[at]), v[at], before, after, abs(after - before)))
-        return pd.DataFrame(out, columns=_PELT.names)
+                    out.append((series, at, int(ts[at]), v[at], before, after, abs(after - before)))
+        return out
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * len(_PELT)
+        types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=_PELT.names)
 
-    return records.select(SERIES, "value", *ORDER).groupBy(SERIES).applyInPandas(search, _PELT)
+    def run(batches):
+        name, parts = None, []
+        for batch in batches:
+            for run_ in _runs(batch):
+                series = run_.column(0)[0].as_py()
+                if parts and series != name:
+                    yield made(changes(name, parts))
+                    parts = []
+                name = series
+                parts.append((run_.column(1).to_numpy(zero_copy_only=False).copy(), run_.column(2).to_numpy(zero_copy_only=False).copy()))
+        if parts:
+            yield made(changes(name, parts))
+
+    return rows.mapInArrow(run, _PELT)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The slices of ``batch`` that are of one series."""
+    if batch.num_rows:
+        name = batch.column(0)
+        edge = (np.flatnonzero(pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+        for i, j in zip([0, *edge], [*edge, batch.num_rows]):
+            yield batch.slice(i, j - i)

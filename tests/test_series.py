@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,62 @@ def test_optimal_partition(spark):
     assert changepoints.optimal_partition(made(spark, x=points[:19])).count() == 0
 
 
+def brute_partition(values, penalty, least):
+    """Each end against all starts, variances from the values themselves."""
+    n = len(values)
+    cost, come = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(least, n + 1):
+        for start in [0, *range(least, end - least + 1)]:
+            if end - start < least:
+                continue
+            part = values[start:end]
+            variance = 0.0 if len(set(part)) == 1 else float(np.var(part, ddof=1))
+            total = cost[start] + (len(part) * math.log(variance) / 2 if variance > 0 else -math.inf) + penalty
+            if total <= cost[end]:
+                cost[end], come[end] = total, start
+    found, at = [], n
+    while at > 0 and come[at] > 0:
+        at = come[at]
+        found.append(at)
+    return found[::-1]
+
+
+def test_partition_drops_no_start_that_wins():
+    rng = np.random.default_rng(3)
+    for k in range(24):
+        n = int(rng.integers(3, 130))
+        values = rng.normal(0, 1, n) * rng.choice([0.1, 1, 30], n if k % 2 else 1) + (np.arange(n) // 30) * (k % 3)
+        if k % 6 == 5:  # equal values, whose cost is minus infinity
+            values[n // 2 : n // 2 + 9] = 0.1
+        for penalty, least in ((0.0, 2), (1.0, 5), (8.0, 7)):
+            assert changepoints.best_partition(values, penalty, least) == brute_partition(values, penalty, least)
+
+
+def test_partition_of_a_long_series():
+    """200,000 rows: with all starts looked at, hundreds of times the work of 10,000."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(0, 1, 200_000) + np.arange(200_000) // 50 % 2 * 9
+    began = time.monotonic()
+    found = changepoints.best_partition(values, 1.0)
+    assert time.monotonic() - began < 100
+    assert len({*range(50, 200_000, 50)} - {*found}) < 40
+
+
+def test_partition_of_series_in_parts(spark):
+    """Series that end inside a batch and series that span several; the same rows for any size of batch."""
+    rng = random.Random(6)
+    series = {f"s{k}": [(i * 60, (i // 25 % 2) * 8 + rng.gauss(0, 1)) for i in range(60 + 40 * k)] for k in range(5)}
+    rows = made(spark, **series)
+    whole = sorted(changepoints.optimal_partition(rows, 0.5).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(changepoints.optimal_partition(rows, 0.5).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.metric_name for r in whole} == {*series}
+
+
 def test_windows(spark):
     rows = sorted(windows.sliding_windows(made(spark, E=E), 3600, 900, "range").collect(), key=lambda r: r.k)
     assert [(r.start, r.value) for r in rows] == [(100, 4), (1000, 3), (1900, 5)]
