@@ -7,14 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.series import ORDER, SERIES
 
 _L, _D = T.LongType(), T.DoubleType()
-_CUSUM = T.StructType([T.StructField(SERIES, T.StringType()), *[T.StructField(n, t) for n, t in (("index", _L), ("timestamp", _L), ("value", _D), ("before", _D), ("after", _D), ("magnitude", _D), ("score_ratio", _D), ("confidence", _D))]])
+_CUSUM = [SERIES, "index", "timestamp", "value", "before", "after", "magnitude", "score_ratio", "confidence"]
 _PELT = T.StructType([T.StructField(SERIES, T.StringType()), *[T.StructField(n, t) for n, t in (("index", _L), ("timestamp", _L), ("value", _D), ("before", _D), ("after", _D), ("magnitude", _D))]])
 
 
@@ -24,34 +24,50 @@ def cusum(records: DataFrame, threshold: float = 2.0, min_points: int = 10) -> D
     Slack is half a deviation; both sums begin anew after a crossing. ``before``
     is the mean since the last change (null at the first row), ``after`` that of
     all rows from the change on. Each series passes once through a task in order
-    of time, with a state of a few numbers, whatever its length.
+    of time, with a state of a few numbers, whatever its length. Both means are
+    of differences between running sums, which are kept with what rounding took
+    from them: in a long series that is more than the differences' last digits.
     """
-    moments = records.groupBy(SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-    rows = records.join(moments.where((F.col("n") >= min_points) & (F.col("sd") > 0)), SERIES)
-    rows = rows.repartition(SERIES).sortWithinPartitions(SERIES, *ORDER).select(SERIES, "timestamp", "value", "mean", "sd", "total", "n")
+    moments = records.groupBy(SERIES).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("n"))
+    # Moments come as the first row of a series, without a time. After a join by series its
+    # shuffle would stay the last, and Spark may split what it takes for a skewed side of a join.
+    rows = records.select(SERIES, "value", *ORDER).unionByName(moments.where((F.col("n") >= min_points) & (F.col("sd") > 0)), allowMissingColumns=True)
+    rows = rows.repartition(SERIES).sortWithinPartitions(SERIES, *[F.col(c).asc_nulls_first() for c in ORDER]).select(SERIES, "timestamp", "value", "mean", "sd", "n")
+    names = [SERIES, "index", "timestamp", "value", "before", "left", "sum", "rest", "score_ratio"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.float64()] * 3]
 
     def run(batches):
-        name, state = None, None
+        name, state, mean, sd, n = None, None, None, None, None
         for batch in batches:
             out: list[tuple] = []
-            for series, ts, v, mean, sd, total, n in zip(*[c.to_pylist() for c in batch.columns]):
+            for series, ts, v, *given in zip(*[c.to_pylist() for c in batch.columns]):
+                if given[2] is not None:
+                    name, (mean, sd, n) = series, given
+                    state = (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0)  # index, high, low, sum so far and its rest, last change, sum and rest there
+                    continue
                 if series != name:
-                    name, state = series, [0, 0.0, 0.0, 0.0, 0, 0.0]  # index, high, low, sum so far, last change, sum there
-                i, high, low, seen, last, seen_last = state
+                    continue
+                i, high, low, seen, rest, last, seen_last, rest_last = state
                 high, low = max(0.0, high + v - mean - sd / 2), max(0.0, low - v + mean - sd / 2)
                 if high > threshold * sd or low > threshold * sd:
-                    before = (seen - seen_last) / (i - last) if i > last else None
-                    after = (total - seen) / (n - i)
-                    ratio = max(high, low) / (threshold * sd)
-                    out.append((series, i, ts, v, before, after, None if before is None else abs(after - before), ratio, min(ratio, 1.0)))
+                    before = ((seen - seen_last) + (rest - rest_last)) / (i - last) if i > last else None
+                    out.append((series, i, ts, v, before, n - i, seen, rest, max(high, low) / (threshold * sd)))
                     high = low = 0.0
-                    last, seen_last = i, seen
-                state = [i + 1, high, low, seen + v, last, seen_last]
-            columns = list(zip(*out)) if out else [()] * len(_CUSUM)
-            types = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=_CUSUM.names)
-
-    return rows.mapInArrow(run, _CUSUM)
+                    last, seen_last, rest_last = i, seen, rest
+                total = seen + v
+                rest += (seen - total) + v if abs(seen) >= abs(v) else (v - total) + seen
+                if i + 1 == n:  # the whole sum follows the changes
+                    out.append((series, None, ts, v, None, 0, total, rest, None))
+                state = (i + 1, high, low, total, rest, last, seen_last, rest_last)
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+
+    kinds = ["string", "long", "long", "double", "double", "long", "double", "double", "double"]
+    found = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    whole, series = F.col("index").isNull(), Window.partitionBy(SERIES)
+    found = found.withColumns({c: F.max(F.when(whole, F.col(c))).over(series) - F.col(c) for c in ("sum", "rest")}).where(~whole)
+    found = found.withColumn("after", (F.col("sum") + F.col("rest")) / F.col("left"))
+    return found.withColumns({"magnitude": F.abs(F.col("after") - F.col("before")), "confidence": F.least("score_ratio", F.lit(1.0))}).select(*_CUSUM)
 
 
 @np.errstate(divide="ignore")

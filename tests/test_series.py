@@ -152,6 +152,37 @@ def test_cusum_of_random_series(spark):
         assert sorted(r["index"] for r in found if r.metric_name == name) == brute_cusum(points, 1.5)
 
 
+def test_cusum_of_a_series_that_is_most_of_the_table(spark):
+    """Spark splits large partitions of a join; a series must not begin anew in the middle."""
+    rng = random.Random(9)
+    points = [(i * 50, round(rng.gauss(5, 3), 3)) for i in range(20_000)]
+    small = {f"s{k}": [(i * 50, round(rng.gauss(k, 3), 3)) for i in range(30)] for k in range(9)}
+    rows = made(spark, x=points, **small).repartition(8)
+    tuned = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "20000", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000"}
+    for key, value in tuned.items():
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        found = changepoints.cusum(rows).collect()
+    finally:
+        for key in tuned:
+            spark.conf.unset(f"spark.sql.{key}")
+    for name, points in {"x": points, **small}.items():
+        assert sorted(r["index"] for r in found if r.metric_name == name) == brute_cusum(points, 2.0)
+
+
+def test_cusum_means_of_a_long_series(spark):
+    """Means are of few values, the running sums behind them of all: 300,000 values about 1e6, exactly added up."""
+    rows = spark.range(0, 300_000, 1, 4).select(F.col("id").alias("timestamp"), F.lit("x").alias("metric_name"), (1e6 + F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100).alias("value"), F.lit("Observation").alias("resource_type"), F.col("id").alias("ingest_seq"), (F.col("id") - F.col("id") % 3600).alias("chunk_id"))
+    values = [r.value for r in rows.orderBy("timestamp").collect()]
+    found = changepoints.cusum(rows).orderBy("index").collect()
+    assert len(found) > 5000
+    for r in found[:3] + found[-300:]:
+        last = max([0, *[x["index"] for x in found if x["index"] < r["index"]]])
+        before = math.fsum(values[last : r["index"]]) / (r["index"] - last)
+        after = math.fsum(values[r["index"] :]) / (len(values) - r["index"])
+        assert abs(r.before - before) < 1e-9 and abs(r.after - after) < 1e-9
+
+
 def test_optimal_partition(spark):
     rng = random.Random(8)
     points = [(i * 60, (0 if i < 30 else 12 if i < 55 else 3) + rng.gauss(0, 0.5)) for i in range(80)]
