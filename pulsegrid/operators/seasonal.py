@@ -12,16 +12,32 @@ def moving_average(records: DataFrame, half: int, out: str = "trend") -> DataFra
     """``records`` with the mean of all rows of the series within ``half`` seconds, both ends included.
 
     Series are cut into slabs of time; rows near an edge also go to the slab
-    beyond it, so that no task needs a whole series.
+    beyond it, so that no task needs a whole series. Time is cut again into
+    blocks as long as the range of a row, which therefore is the end of one
+    block and the beginning of the next: two running sums, one from each side.
+    A row costs the same however many are near it, and nothing is subtracted.
     """
     if half < 0:
         raise ValueError("half must not be negative")
+    width = 2 * half + 1
     length = 8 * half + 3600
     slab = lambda t: F.floor(t / length)
     ts = F.col("timestamp")
-    rows = records.withColumn("slab", F.explode(F.sequence(slab(ts - half), slab(ts + half))))
-    near = Window.partitionBy(SERIES, "slab").orderBy("timestamp").rangeBetween(-half, half)
-    return rows.withColumn(out, F.avg("value").over(near)).where(F.col("slab") == slab(ts)).drop("slab")
+    rows = records.withColumn("slab", F.explode(F.sequence(slab(ts - half), slab(ts + half)))).withColumn("block", F.floor(ts / width))
+    rows = rows.repartition(SERIES, "slab")
+    ways = {"head": F.col("timestamp").asc(), "tail": F.col("timestamp").desc()}
+    for name, order in ways.items():
+        so_far = Window.partitionBy(SERIES, "slab", "block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(name, F.struct("block", F.sum("value").over(so_far).alias("sum"), F.count("value").over(so_far).alias("n")))
+    for name, order in ways.items():
+        rows = rows.withColumn(name, F.last(name).over(Window.partitionBy(SERIES, "slab").orderBy(order).rangeBetween(Window.unboundedPreceding, half)))
+    rows = rows.where(F.col("slab") == slab(ts))
+    first, final = F.floor((ts - half) / width), F.floor((ts + half) / width)
+    tail = F.when(F.col("tail.block") == first, F.col("tail"))
+    head = F.when((F.col("head.block") == final) & (first != final), F.col("head"))
+    total = F.when(tail["sum"].isNull(), head["sum"]).when(head["sum"].isNull(), tail["sum"]).otherwise(tail["sum"] + head["sum"])
+    count = F.coalesce(tail["n"], F.lit(0)) + F.coalesce(head["n"], F.lit(0))
+    return rows.withColumn(out, F.try_divide(total, count)).drop("slab", "block", "head", "tail")
 
 
 def decompose(records: DataFrame, period: int = 86400, method: str = "additive", min_points: int = 24) -> DataFrame:

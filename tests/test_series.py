@@ -263,6 +263,27 @@ def test_moving_average(spark):
         assert math.isclose(found[i], sum(near) / len(near), rel_tol=1e-9)
 
 
+def test_moving_average_of_dense_and_uneven_rows(spark):
+    """Gaps, several rows at a time, edges of blocks, and a value beside which all others vanish."""
+    rng = random.Random(7)
+    points = [(t, rng.choice([rng.random(), 5.0])) for t in [*rng.choices(range(300), k=250), *range(20_000, 20_040), *rng.choices(range(0, 90_000, 7), k=200), 33_333]]
+    points[100] = (points[100][0], 1e17)
+    for half in (0, 3, 50, 4320):
+        found = {r.ingest_seq: r.trend for r in seasonal.moving_average(made(spark, x=points), half).collect()}
+        assert len(found) == len(points)
+        for i, (t, _) in enumerate(points):
+            near = [v for u, v in points if abs(u - t) <= half]
+            assert math.isclose(found[i], math.fsum(near) / len(near), rel_tol=1e-12)
+
+
+def test_moving_average_costs_a_row_the_same_however_many_are_near(spark):
+    """400,000 rows within an hour: by frames that are added up row by row 1.6e11 steps."""
+    rows = spark.range(0, 400_000, 1, 4).select((F.col("id") % 3600).alias("timestamp"), F.lit("x").alias("metric_name"), (F.col("id") % 10).cast("double").alias("value"))
+    began = time.monotonic()
+    assert one(seasonal.moving_average(rows, 4320).agg(F.min("trend").alias("low"), F.max("trend").alias("high"))) == (4.5, 4.5)
+    assert time.monotonic() - began < 60
+
+
 def test_seasonal(spark):
     points = [(600 * i, 10 + (i % 6)) for i in range(60)]
     rows = sorted(seasonal.decompose(made(spark, x=points), 3600).collect(), key=lambda r: r.timestamp)
