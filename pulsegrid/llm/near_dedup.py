@@ -393,10 +393,9 @@ def similar(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle:
     """``doc_id``, ``key`` and ``root`` of each row: rows of one root are linked by similar texts.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is
-    ``least`` or more. The forest has a tree for each band of minima: its
-    metric counts the minima of the band that differ, and its radius is 0. At
-    similarity 0.8 SimHashes differ in up to 17 of 64 bits, a radius that
-    prunes nothing. What meets in a shard is confirmed by exact sets: neighbours
+    ``least`` or more. Candidates come from bands of minima (MinHash), not from
+    the forest of SimHashes: at similarity 0.8 SimHashes differ in up to 17 of 64
+    bits, a radius that prunes nothing there. What meets in a shard is confirmed by exact sets: neighbours
     and small shards first, and shards that then still hold different
     components block by block. ``key`` is a hash of all values of a row. Texts
     without words are alike.
